@@ -35,16 +35,17 @@ BLOCK_MIN, STRONG_MIN, BODY_MIN = 15, 100, 200
 
 
 # ------------------------------------------------------------------ JVM side
-def headings(html: Column | str, tag: str) -> Column:
-    """Cleaned, non-generic heading texts in page order."""
-    raw = F.regexp_extract_all(text_or_empty(html), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1))
+def headings(html: Column | str, *tags: str) -> Column:
+    """Cleaned, non-generic heading texts: all of the first tag, then all of the next."""
+    raw = F.concat(*[F.regexp_extract_all(text_or_empty(html), F.lit(rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}\s*>"), F.lit(1))
+                     for t in tags])
     return F.filter(F.transform(raw, lambda h: clean_page_title(unescape(strip_html(h)))),
                     lambda t: t.isNotNull() & ~is_generic_title(t))
 
 
 def article_title(html: Column | str) -> Column:
     """First real h1, else h2, else the document title."""
-    return F.coalesce(*[F.get(headings(html, t), F.lit(0)) for t in ("h1", "h2", "title")])
+    return F.get(headings(html, "h1", "h2", "title"), F.lit(0))
 
 
 def article_text_fast(html: Column | str) -> Column:
@@ -239,7 +240,7 @@ def page_publish_text(html: Column | str) -> Column:
     return F.get(good, F.lit(0))["value"]
 
 
-@F.pandas_udf(D.StringType())
+@F.pandas_udf(D.ArrayType(D.StringType()))
 def source_lines(html: pd.Series) -> pd.Series:
     """Lines that may name the source organisation: known classes first, then texts starting with the label."""
     def one(source):
@@ -247,10 +248,17 @@ def source_lines(html: pd.Series) -> pd.Series:
         lines = [page.text(k) for w in ORG_CLASSES for k in range(len(page.nodes))
                  if w in page.nodes[k][1].get("class", "")]
         lines += [t.strip() for t, _ in page.tokens if re.match(r"(文章)?来源[:：]", t.strip())]
-        return "\n".join(x.replace("\n", " ") for x in lines if "来源" in x)
+        return [x for x in lines if "来源" in x]
     return html.map(one)
 
 
+def page_source_org(html: Column | str) -> Column:
+    """Source organisation of a page: the first line that names one."""
+    from .text import source_org
+    names = F.filter(F.transform(source_lines(col(html)), lambda t: source_org(t)), lambda n: n.isNotNull())
+    return F.get(names, F.lit(0))
+
+
 _POST = D.StructType([D.StructField(n, D.StringType()) for n in ("post_id", "handle", "published", "text")])
 
 

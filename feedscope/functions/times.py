@@ -53,15 +53,10 @@ def _day_text(y: Column, m: Column, d: Column) -> Column:
     return F.when(ok, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
 
 
-def _number(x: Column, pattern: str, group: int) -> Column:
-    return F.try_to_number(F.regexp_extract(x, pattern, group), F.lit("99"))
-
-
 def list_day(x: Column | str) -> Column:
     """First ``20yy-m-d`` like date of a text as 'yyyy-MM-dd'; NULL when out of range."""
     t = col(x)
-    y, m, d = (F.nullif(F.regexp_extract(t, LIST_DATE, i), F.lit("")) for i in (1, 2, 3))
-    return _day_text(y, m, d)
+    return _day_text(*(F.nullif(F.regexp_extract(t, LIST_DATE, i), F.lit("")) for i in (1, 2, 3)))
 
 
 def list_item_day(html: Column | str) -> Column:

@@ -33,20 +33,20 @@ def unescape(x: Column | str) -> Column:
 
     ``unescape_all`` knows every HTML name and costs an Arrow round trip.
     """
-    t = text_or_empty(x)
-    # cut in front of every numeric reference, resolve each piece, glue again
-    pieces = F.split(F.regexp_replace(t, r"(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)", "\u0001$1\u0001"), "\u0001")
-
     def one(p):
         code = F.when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "([0-9A-Fa-f]+);$", 1), 16, 10)) \
                 .otherwise(F.regexp_extract(p, "([0-9]+);$", 1))
-        return F.when(p.rlike(r"^&#[xX]?[0-9A-Fa-f]+;$"), _code_point(code.cast("long"))).otherwise(p)
+        return F.when(p.rlike(r"^&#[xX]?[0-9A-Fa-f]+;$"), let(code.cast("long"), _code_point)).otherwise(p)
+
+    def resolve(t):
+        # cut around every numeric reference, resolve each piece, glue again
+        pieces = F.split(F.regexp_replace(t, r"(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)", "\u0001$1\u0001"), "\u0001")
+        out = F.when(t.contains("&#"), F.array_join(F.transform(pieces, one), "")).otherwise(t)
+        for name, ch in ENTITIES.items():
+            out = F.replace(out, F.lit(name), F.lit(ch))
+        return F.when(t.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(t)
 
-    numeric = F.when(t.contains("&#"), F.array_join(F.transform(pieces, one), "")).otherwise(t)
-    named = numeric
-    for name, ch in ENTITIES.items():
-        named = F.replace(named, F.lit(name), F.lit(ch))
-    return F.when(t.contains("&"), F.replace(named, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+    return let(text_or_empty(x), resolve)
 
 
 def _code_point(code: Column) -> Column:
@@ -98,7 +98,7 @@ def strip_title_suffix(title: Column | str, decoded: Column | None = None) -> Co
                 .when(t.contains("摘要:"), trim_ws(F.substring_index(t, "摘要:", 1))).otherwise(t))
 
     def step(acc, sep):
-        tail = F.substring_index(acc, sep, -1)
+        tail = F.call_function("substring_index", acc, sep, F.lit(-1))
         head = F.left(acc, F.char_length(acc) - F.char_length(tail) - F.char_length(sep))
         s = trim_ws(tail)
         drop = acc.contains(sep) & (s != "") & (_is_site_tail(s) | is_publisher(s)
@@ -127,15 +127,18 @@ def clean_page_title(raw: Column | str) -> Column:
     """Title of a page: one blank, no label, at most one site tail gone, 120 characters."""
     base = F.regexp_replace(collapse_ws(text_or_empty(raw)), r"(?i)^(?:title|标题|题名|文章标题)\s*[:：]\s*", "")
 
+    def tail(t, sep):
+        return F.call_function("substring_index", t, sep, F.lit(-1))
+
+    def is_cut(t, sep):
+        s = trim_ws(tail(t, sep))
+        return t.contains(sep) & (s != "") & (_is_site_tail(s) | is_publisher(s, V.PAGE_PUBLISHER_NAMES))
+
     def strip(t):
-        done = F
-        for sep in V.PAGE_TITLE_SEPARATORS:
-            tail = F.substring_index(t, sep, -1)
-            head = F.left(t, F.char_length(t) - F.char_length(tail) - len(sep))
-            s = trim_ws(tail)
-            hit = t.contains(sep) & (s != "") & (_is_site_tail(s) | is_publisher(s, V.PAGE_PUBLISHER_NAMES))
-            done = done.when(hit, trim_ws(head))
-        return F.nullif(F.substring(done.otherwise(t), 1, 120), F.lit(""))
+        # the first separator, in list order, behind which a site name stands
+        sep = F.get(F.filter(F.array(*[F.lit(x) for x in V.PAGE_TITLE_SEPARATORS]), lambda x: is_cut(t, x)), F.lit(0))
+        head = F.left(t, F.char_length(t) - F.char_length(tail(t, sep)) - F.char_length(sep))
+        return F.nullif(F.substring(F.when(sep.isNotNull(), trim_ws(head)).otherwise(t), 1, 120), F.lit(""))
 
     return let(base, strip)
 

@@ -1 +1,17 @@
+"""Named queries over the given tables."""
 
+from __future__ import annotations
+
+
+def _load():
+    from . import base, classification, cleaning  # noqa: F401
+    return base
+
+
+def all_queries() -> dict:
+    return dict(_load().QUERIES)
+
+
+def all_oracles() -> dict[str, str]:
+    b = _load()
+    return {name: b.duck_sql(sql) for name, sql in b.ORACLES.items()}

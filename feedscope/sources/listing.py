@@ -2,44 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.pages import anchors
 from ..functions.times import parse_day
 from ..functions.urls import is_junk_link, resolve_href
 from ..operators.dedup import first_per_key
 
-RULE_FIELDS = ("list_id string, min_chars int, path_pattern string, deny_pattern string, check_junk boolean, "
-               "head int")
-
-
-def rules_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """``(list_id, min_chars, path_pattern, deny_pattern, check_junk, head)`` per page kind."""
-    return spark.createDataFrame(rows, RULE_FIELDS)
+@dataclass(frozen=True)
+class ListRule:
+    """What one kind of listing page offers as content."""
+    list_id: str
+    min_chars: int = 8
+    path: str = ""          # pattern the address must match
+    deny: str = ""          # pattern it must not match
+    check_junk: bool = False
+    head: int = 40
 
 
-def listing_links(pages: DataFrame, rules: list[tuple], spark: SparkSession | None = None) -> DataFrame:
+def listing_links(pages: DataFrame, rules: list[ListRule]) -> DataFrame:
     """Links of landed pages that their rule accepts.
 
     ``pages(page_id, list_id, url, html)``.  A link needs enough text, a matching path,
     no denied part and, if asked, no junk mark; it counts once per list by (label, href),
-    and each list gives its first ``head``.  The rule list is a Python value, so its
-    size is known when it is broadcast.
+    and each list gives its first ``head``.  Rules become literal conditions, so every
+    pattern is compiled once and no join is needed.
     """
-    frame = F.broadcast(rules_frame(spark or pages.sparkSession, rules))
-    links = anchors(pages, keep=["page_id", "list_id", "url"]).join(frame, "list_id")
-    full = links.withColumn("href", resolve_href("href", "url"))
-    ok = ((F.char_length("label") >= F.col("min_chars")) & (F.col("href") != "")
-          & F.col("href").rlike(F.col("path_pattern"))
-          & ~((F.col("deny_pattern") != "") & F.col("href").rlike(F.col("deny_pattern")))
-          & ~(F.col("check_junk") & is_junk_link("label", "href")))
+    full = anchors(pages, keep=["page_id", "list_id", "url"]).withColumn("href", resolve_href("href", "url"))
+    ok, limit = F, F
+    for r in rules:
+        fits = (F.char_length("label") >= r.min_chars) & (F.col("href") != "")
+        if r.path:
+            fits = fits & F.col("href").rlike(r.path)
+        if r.deny:
+            fits = fits & ~F.col("href").rlike(r.deny)
+        if r.check_junk:
+            fits = fits & ~is_junk_link("label", "href")
+        ok, limit = ok.when(F.col("list_id") == r.list_id, fits), limit.when(F.col("list_id") == r.list_id, F.lit(r.head))
     order = [F.col("page_id"), F.col("link_no")]
     once = first_per_key(full.where(ok), ["list_id", "label", "href"], order)
-    most = max(r[5] for r in rules)
-    head = first_per_key(once, ["list_id"], order, most)
+    head = first_per_key(once, ["list_id"], order, max(r.head for r in rules))
     # the longest head bounds this window; shorter ones are cut on it
-    from pyspark.sql import Window
     numbered = head.withColumn("no", F.row_number().over(Window.partitionBy("list_id").orderBy(*order)))
-    return numbered.where(F.col("no") <= F.col("head")) \
+    return numbered.where(F.col("no") <= limit) \
         .select("list_id", "page_id", "no", F.col("label").alias("title"), F.col("href").alias("url"),
                 parse_day("day").alias("published_at"))
