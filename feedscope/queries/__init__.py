@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import base, classification, cleaning  # noqa: F401
+    from . import accumulation, base, classification, cleaning, reports  # noqa: F401
     return base
 
 
