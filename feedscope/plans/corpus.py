@@ -251,9 +251,10 @@ def upgrade_titles(notes: DataFrame, pages: DataFrame, limit: int = 30) -> DataF
     take = (T.is_short_title("title", limit) & (text_or_empty("_page") != "")
             & ((chars("_page") > chars("title")) | F.col("title").contains(F.col("_page"))))
     prefix = F.regexp_extract("file_name", r"^(\d{4}-\d{2}-\d{2} )", 1)
-    named = j.withColumn("title", F.when(take, F.col("_page")).otherwise(F.col("title"))) \
-             .withColumn("_want", F.when(take, F.concat(prefix, N.safe_name("_page", 80))).otherwise(F.col("file_name"))) \
-             .drop("_page")
+    named = j.withColumn("_take", take).withColumns({
+        "title": F.when(F.col("_take"), F.col("_page")).otherwise(F.col("title")),
+        "_want": F.when(F.col("_take"), F.concat(prefix, N.safe_name("_page", 80))).otherwise(F.col("file_name")),
+    }).drop("_page", "_take")
     moving = F.col("_want") != F.col("file_name")
     claims = named.where(moving).groupBy("folder", "_want").agg(F.min("id").alias("_winner"))
     taken = notes.select("folder", F.col("file_name").alias("_want"), F.lit(True).alias("_taken")).distinct()
