@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 # Whitespace that feeds really contain: ASCII, no-break and ideographic space.
@@ -51,3 +54,24 @@ def chars(x: Column | str) -> Column:
 def let(x: Column, body) -> Column:
     """Name a costly expression once: ``body`` gets it as a variable, so trees stay small."""
     return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def built_once(fn):
+    """Build a large expression over named columns once per application.
+
+    Calls with other arguments than names and fixed packs are built afresh.
+    """
+    known: dict = {}
+
+    @wraps(fn)
+    def build(*args, **kwargs):
+        given = (*args, *kwargs.values())
+        if any(isinstance(a, Column) for a in given):
+            return fn(*args, **kwargs)
+        app = SparkContext._active_spark_context
+        key = (id(app), tuple(a if isinstance(a, (str, bool, int, type(None))) else id(a) for a in args),
+               tuple((k, v if isinstance(v, (str, bool, int, type(None))) else id(v)) for k, v in kwargs.items()))
+        if key not in known:
+            known[key] = (fn(*args, **kwargs), app, args, kwargs)  # keeps the arguments alive, so ids stay unique
+        return known[key][0]
+    return build

@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as D
 
-from .base import col, text_or_empty
+from .base import built_once, col, text_or_empty
 from .text import strip_html
 from .times import list_item_day
 from .titles import clean_page_title, is_generic_title, unescape
@@ -35,6 +35,7 @@ BLOCK_MIN, STRONG_MIN, BODY_MIN = 15, 100, 200
 
 
 # ------------------------------------------------------------------ JVM side
+@built_once
 def headings(html: Column | str, *tags: str) -> Column:
     """Cleaned, non-generic heading texts: all of the first tag, then all of the next."""
     raw = F.concat(*[F.regexp_extract_all(text_or_empty(html), F.lit(rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}\s*>"), F.lit(1))
@@ -43,11 +44,13 @@ def headings(html: Column | str, *tags: str) -> Column:
                     lambda t: t.isNotNull() & ~is_generic_title(t))
 
 
+@built_once
 def article_title(html: Column | str) -> Column:
     """First real h1, else h2, else the document title."""
     return F.get(headings(html, "h1", "h2", "title"), F.lit(0))
 
 
+@built_once
 def article_text_fast(html: Column | str) -> Column:
     """Block texts inside ``<article>`` joined by blank lines; NULL for pages without one."""
     body = F.regexp_extract(text_or_empty(html), r"(?is)<article(?:\s[^>]*)?>(.*?)</article>", 1)

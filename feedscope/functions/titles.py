@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as D
 
 from ..plans import fixed_values as V
-from .base import any_of, chars, col, collapse_ws, let, text_or_empty, trim_ws
+from .base import any_of, built_once, chars, col, collapse_ws, let, text_or_empty, trim_ws
 
 KEY_NOISE = r"[\s\x{a0}\x{3000}\-_—–()（）【】\[\]「」『』・,，.。:：;；/\\|]"
 SIMILARITY_NOISE = r"[\s\x{a0}\x{3000}\-—–|｜_【】\[\]（）()《》〈〉<>「」『』\"'“”‘’.,，。:：;；!！?？、…]"
@@ -23,11 +23,13 @@ ENTITIES = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "
             "&szlig;": "ß", "&ccedil;": "ç", "&ntilde;": "ñ", "&deg;": "°", "&euro;": "€"}
 
 
+@built_once
 def title_key(title: Column | str) -> Column:
     """Lower case, no spaces or punctuation, 120 characters."""
     return F.substring(F.regexp_replace(F.lower(text_or_empty(title)), KEY_NOISE, ""), 1, 120)
 
 
+@built_once
 def unescape(x: Column | str) -> Column:
     """Resolve character references: usual names and all numeric ones, on the JVM side.
 
@@ -89,6 +91,7 @@ def _is_site_tail(tail: Column) -> Column:
     return (F.char_length(tail) <= 25) & tail.rlike(V.CJK_SITE_TAIL)
 
 
+@built_once
 def strip_title_suffix(title: Column | str, decoded: Column | None = None) -> Column:
     """Remove source and section tails from a title, all of them, separator by separator."""
     raw = decoded if decoded is not None else unescape(trim_ws(text_or_empty(title)))
@@ -123,6 +126,7 @@ def is_nav_title(title: Column | str) -> Column:
     return trim_ws(text_or_empty(title)).rlike("(?i)^(?:" + "|".join(V.NAV_TITLES) + r")\s*$")
 
 
+@built_once
 def clean_page_title(raw: Column | str) -> Column:
     """Title of a page: one blank, no label, at most one site tail gone, 120 characters."""
     base = F.regexp_replace(collapse_ws(text_or_empty(raw)), r"(?i)^(?:title|标题|题名|文章标题)\s*[:：]\s*", "")
@@ -143,11 +147,13 @@ def clean_page_title(raw: Column | str) -> Column:
     return let(base, strip)
 
 
+@built_once
 def is_generic_title(raw: Column | str) -> Column:
     t = trim_ws(text_or_empty(raw))
     return (t == "") | t.rlike("(?i)" + V.GENERIC_TITLES)
 
 
+@built_once
 def clean_digest_title(title: Column | str) -> Column:
     t = F.substring_index(collapse_ws(text_or_empty(title)), "摘要：", 1)
     t = F.regexp_replace(trim_ws(t), r"[\x{4e00}-\x{9fff}]{0,6}(小编|编辑)\s*[^\x{4e00}-\x{9fff}]*\d*[天小时分]?前\s*$", "")
@@ -170,6 +176,7 @@ def strip_agency_tails(title: Column | str) -> Column:
     return trim_ws(F.regexp_replace(trim_ws(text_or_empty(title)), rf"(?:{tails})+$", ""))
 
 
+@built_once
 def is_corpus_nav(title: Column | str) -> Column:
     t = F.lower(trim_ws(text_or_empty(title)))
     return (F.char_length(t) < 4) | t.isin(V.CORPUS_NAV_EXACT) | t.rlike("|".join(V.CORPUS_NAV_PATTERNS))

@@ -28,14 +28,10 @@ def render(items: DataFrame, as_of: Column) -> DataFrame:
 
 def parse(notes: DataFrame, note: str = "note") -> DataFrame:
     """Front matter, heading and body as columns."""
-    fm = notes.withColumn("_fm", N.frontmatter(note))
-    fields = {k: F.nullif(F.element_at("_fm", F.lit(k)), F.lit(""))
-              for k in ("source", "url", "date", "published", "author", "summary")}
-    return fm.withColumns({**fields,
-                           "tags": N.list_field(F.element_at("_fm", F.lit("tags"))),
-                           "keywords": N.list_field(F.element_at("_fm", F.lit("keywords"))),
-                           "people": N.list_field(F.element_at("_fm", F.lit("people"))),
-                           "title": N.note_heading(note), "body": N.note_body(note)}).drop("_fm")
+    fm = notes.withColumn("_fm", N.frontmatter_block(note))
+    fields = {k: N.front_field("_fm", k) for k in ("source", "url", "date", "published", "author", "summary")}
+    lists = {k: N.list_field(N.front_field("_fm", k)) for k in ("tags", "keywords", "people")}
+    return fm.withColumns({**fields, **lists, "title": N.note_heading(note), "body": N.note_body(note)}).drop("_fm")
 
 
 def lookup_indexes(parsed: DataFrame, order: list[Column]) -> dict[str, DataFrame]:
@@ -169,7 +165,8 @@ def inject(notes: DataFrame, extra: DataFrame) -> DataFrame:
     with_sum = F.when(F.coalesce(F.regexp_extract(note, r'(?m)^summary:\s*"([^"]+)', 1), F.lit("")) == "",
                       N.set_line(note, "summary", F.col("_summary"), "keywords")).otherwise(note)
     step1 = j.withColumn("note", with_sum)
-    step2 = step1.withColumn("note", N.set_published(F.col("note"), F.col("_published")))
+    step2 = step1.withColumn("note", N.set_published(F.col("note"), F.col("_published"))) \
+                 .withColumn("note", N.show_published(F.col("note"), F.col("_published")))
     return step2.withColumn("note", N.add_body(F.col("note"), F.col("_body"))).drop("_summary", "_published", "_body")
 
 
@@ -194,8 +191,10 @@ def fill_people(notes: DataFrame, force: bool = False) -> DataFrame:
     none = F.coalesce(F.size("people"), F.lit(0)) == 0
     write = (F.size("_found") > 0) & (F.lit(force) | none)
     return notes.withColumn("_found", found) \
-        .withColumn("note", F.when(write, N.set_people(F.col("note"), F.col("_found"))).otherwise(F.col("note"))) \
-        .withColumn("people", F.when(write, F.col("_found")).otherwise(F.col("people"))).drop("_found")
+        .withColumn("_write", write) \
+        .withColumn("note", F.when(F.col("_write"), N.set_people(F.col("note"), F.col("_found"))).otherwise(F.col("note"))) \
+        .withColumn("note", F.when(F.col("_write"), N.show_people(F.col("note"), F.col("_found"))).otherwise(F.col("note"))) \
+        .withColumn("people", F.when(F.col("_write"), F.col("_found")).otherwise(F.col("people"))).drop("_found", "_write")
 
 
 def suspect_times(index: DataFrame, items: DataFrame) -> DataFrame:

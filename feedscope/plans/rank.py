@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.base import let
 from ..functions.titles import display_title
 from ..operators import ranking
 from . import fixed_values as V
@@ -54,9 +55,8 @@ def topic_edges(items: DataFrame, topics: str = "topics") -> DataFrame:
 
     Pairs come from one row's own short tag list (13 tags at most), never from a group of rows.
     """
-    ts = F.array_sort(F.array_distinct(topics))
-    pairs = F.flatten(F.transform(ts, lambda a: F.transform(
-        F.filter(ts, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = let(F.array_sort(F.array_distinct(topics)), lambda ts: F.flatten(F.transform(ts, lambda a: F.transform(
+        F.filter(ts, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
     return items.where(F.size(topics) > 1).select(F.explode(pairs).alias("p")) \
                 .groupBy(F.col("p.a").alias("topic_a"), F.col("p.b").alias("topic_b")).agg(F.count("*").alias("n"))
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.base import any_of, col, escape, text_or_empty
+from ..functions.base import any_of, built_once, col, escape, text_or_empty
 from . import fixed_values as V
 
 
@@ -77,6 +77,7 @@ def _lower(title, summary=None) -> Column:
     return F.lower(F.concat_ws(" ", text_or_empty(title), text_or_empty(summary)))
 
 
+@built_once
 def is_relevant(title, url, summary, site_class, pack: RulePack = RulePack()) -> Column:
     """First test that applies to the site's class decides."""
     text, t, u = _lower(title, summary), _lower(title), F.lower(text_or_empty(url))
@@ -90,6 +91,7 @@ def is_relevant(title, url, summary, site_class, pack: RulePack = RulePack()) ->
             .otherwise(t.rlike(free) | t.rlike(tight) | url_hit))
 
 
+@built_once
 def dimension(site_id, title, summary, library, site_class, pack: RulePack = RulePack()) -> Column:
     """One of the four views of an item; first match in this order."""
     text, t = _lower(title, summary), _lower(title)
@@ -114,6 +116,7 @@ def dimension(site_id, title, summary, library, site_class, pack: RulePack = Rul
             .otherwise(F.lit(V.DIM_INDUSTRY)))
 
 
+@built_once
 def region(title, home_region, pack: RulePack = RulePack()) -> Column:
     """Region named in the title (first list wins), else the site's home, else international."""
     t = _lower(title)
@@ -123,6 +126,7 @@ def region(title, home_region, pack: RulePack = RulePack()) -> Column:
     return chain.otherwise(F.coalesce(F.nullif(col(home_region), F.lit("")), F.lit(V.DEFAULT_REGION)))
 
 
+@built_once
 def topics(title, pack: RulePack = RulePack()) -> Column:
     """Every topic tag whose words hit the title, in rule order."""
     t = _lower(title)
@@ -130,6 +134,7 @@ def topics(title, pack: RulePack = RulePack()) -> Column:
                                      for tag, words in pack.topics]))
 
 
+@built_once
 def document_type(title, pack: RulePack = RulePack()) -> Column:
     t = _lower(title)
     chain = F
@@ -147,6 +152,7 @@ def tags(region_col, topics_col, type_col) -> Column:
     return F.array_distinct(F.concat(F.array(r), ts, F.array(k), extra))
 
 
+@built_once
 def people(title, summary, body=None, pack: RulePack = RulePack()) -> Column:
     """Known names in title, summary and the head of the body, in list order."""
     parts = [text_or_empty(title), text_or_empty(summary)]
@@ -174,6 +180,7 @@ def role_points(role: str, pack: RulePack = RulePack(), exact_deputies: bool = F
     return next((p for p, words in tiers if any(w in role for w in words)), 0)
 
 
+@built_once
 def people_score(people_col, pack: RulePack = RulePack(), exact_deputies: bool = False) -> Column:
     points = {n: role_points(r, pack, exact_deputies) for n, r in pack.people}
     names = col(people_col)
@@ -184,6 +191,7 @@ def people_score(people_col, pack: RulePack = RulePack(), exact_deputies: bool =
     return chain.otherwise(F.lit(0)) if chain is not F else F.lit(0)
 
 
+@built_once
 def strength_score(dimension_col, title, summary, pack: RulePack = RulePack()) -> Column:
     text, d = _lower(title, summary), col(dimension_col)
     short = 4 if pack.strict_words else 0
@@ -200,6 +208,7 @@ def strength_score(dimension_col, title, summary, pack: RulePack = RulePack()) -
     return chain.otherwise(ladder(pack.strength[V.DIM_POLICY]))
 
 
+@built_once
 def topic_score(title, summary, pack: RulePack = RulePack()) -> Column:
     text = _lower(title, summary)
     short = 4 if pack.strict_words else 0
