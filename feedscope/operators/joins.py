@@ -52,8 +52,11 @@ def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "
 
 
 def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left",
-                most: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join to a side table with one row per key: broadcast when its counted size allows, else salted."""
-    if is_small(facts, most):
+                most: int = MAX_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
+    """Join to a side table with one row per key: broadcast when its size allows, else salted.
+
+    ``known_rows`` saves the count where the caller made the table itself.
+    """
+    if known_rows <= most if known_rows is not None else is_small(facts, most):
         return rows.join(F.broadcast(facts), keys, how)
     return salted_join(rows, facts, keys, how)

@@ -11,13 +11,13 @@ from .rules import RulePack
 SITE_COLUMNS = ["library", "grp", "authority", "home_region", "site_class", "category", "window_hours", "site_rank"]
 
 
-def with_site_facts(items: DataFrame, sites: DataFrame, columns=None) -> DataFrame:
+def with_site_facts(items: DataFrame, sites: DataFrame, columns=None, known_rows: int | None = None) -> DataFrame:
     """Left join on the registry; a site nobody registered gets the defaults."""
     defaults = {"library": V.DEFAULT_LAYOUT[0], "grp": V.DEFAULT_LAYOUT[1], "authority": V.DEFAULT_AUTHORITY,
                 "home_region": "", "site_class": "keyword", "category": V.DEFAULT_CATEGORY,
                 "window_hours": V.WINDOW_HOURS["default"], "site_rank": 1 << 30}
     columns = [c for c in (columns or SITE_COLUMNS) if c in sites.columns]
-    joined = lookup_join(items.drop(*columns), sites.select("site_id", *columns), ["site_id"])
+    joined = lookup_join(items.drop(*columns), sites.select("site_id", *columns), ["site_id"], known_rows=known_rows)
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(defaults[c])) for c in columns if c in defaults})
 
 

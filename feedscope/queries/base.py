@@ -13,6 +13,7 @@ from ..session import ship_package, use_utc
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 TABLES = ("documents", "pages", "events", "labels", "conversations", "benchmark", "orders", "lineitem")
+SITE_COUNT = len(V.SITES.strip().splitlines())
 AS_OF_TEXT = "2024-01-31 00:00:00"
 AS_OF_SQL = f"TIMESTAMP '{AS_OF_TEXT}'"
 
@@ -98,7 +99,7 @@ class Data:
         return self.base("articles")
 
     def with_sites(self) -> DataFrame:
-        return scoring.with_site_facts(self.items(), self.sites.select("site_id", *scoring.SITE_COLUMNS))
+        return scoring.with_site_facts(self.items(), self.sites, known_rows=SITE_COUNT)
 
     def classified(self) -> DataFrame:
         return scoring.classify(self.with_sites())

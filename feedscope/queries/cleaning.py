@@ -186,7 +186,7 @@ PAGE_MIX = """SELECT id, CASE id % 8 WHEN 0 THEN concat('Title:  ', title) WHEN
   WHEN 5 THEN 'Main navigation' WHEN 6 THEN '国家节能中心公共服务网 - 节能研究' ELSE title END AS raw FROM """
 
 
-def _page_title_sql() -> str:
+def _page_title_sql(source: str = f"{PAGE_MIX} items", key: str = "id") -> str:
     arms = []
     for sep in V.PAGE_TITLE_SEPARATORS:
         q = quoted(sep)
@@ -197,7 +197,7 @@ def _page_title_sql() -> str:
         arms.append(f"WHEN contains(s,{q}) AND (SELECT {test} FROM (SELECT {trim_sql(tail)} AS t) w) "
                     f"THEN {trim_sql(f'regexp_extract(s, {last}, 1)')}")
     base = rf"""regexp_replace({squeeze_sql('raw')}, '(?i)^(title|标题|题名|文章标题)\s*[:：]\s*', '')"""
-    return f"SELECT id, nullif(substring(CASE {' '.join(arms)} ELSE s END, 1, 120), '') AS title FROM (SELECT id, {base} AS s FROM ({PAGE_MIX} items) p) z"
+    return f"SELECT {key}, nullif(substring(CASE {' '.join(arms)} ELSE s END, 1, 120), '') AS title FROM (SELECT {key}, {base} AS s FROM ({source}) p) z"
 
 
 @query("page_title_clean", _page_title_sql())
@@ -471,12 +471,27 @@ def page_links(d):
         F.count("*").alias("n"), F.countDistinct("title").alias("titles"))
 
 
-@query("page_titles")
+def unescape_sql(e: str) -> str:
+    for name, ch in T.ENTITIES.items():
+        e = f"replace({e}, '{name}', {quoted(ch)})"
+    return f"replace({e}, '&amp;', '&')"
+
+
+H1_SQL = f"""SELECT page_id, {unescape_sql(squeeze_sql("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')"))} AS raw FROM pages"""
+
+
+@query("page_titles", _page_title_sql(H1_SQL, "page_id"))
 def page_titles(d):
     return d.table("pages").select("page_id", P.article_title("html").alias("title"))
 
 
-@query("page_body_fast")
+BODY_SQL = f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) AS art FROM pages),
+b AS (SELECT page_id, art, list_filter(list_transform(regexp_extract_all(art, '(?is)<(?:p|h[1-4]|li)(?:[ ][^>]*)?>(.*?)(?:</(?:p|h[1-4]|li)>|$)', 1),
+  lambda x: {unescape_sql(squeeze_sql("regexp_replace(x, '<[^>]+>', ' ', 'g')"))}), lambda x: length(x) >= 15) AS l FROM a)
+SELECT page_id, CASE WHEN art <> '' THEN array_to_string(l, chr(10) || chr(10)) END AS body FROM b"""
+
+
+@query("page_body_fast", BODY_SQL)
 def page_body_fast(d):
     return d.table("pages").select("page_id", P.article_text_fast("html").alias("body"))
 

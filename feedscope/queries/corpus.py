@@ -9,7 +9,7 @@ from ..functions.pages import article_text_fast
 from ..functions.times import local_minute_text
 from ..plans import corpus as C, fixed_values as V, rules
 from .base import query
-from .cleaning import NAV_MIX
+from .cleaning import BODY_SQL, NAV_MIX
 from .classification import TYPE_SQL
 
 
@@ -184,12 +184,9 @@ def library_moves(d):
 
 
 # ---------------------------------------------------------------- repairs
-INJECT_SQL = NOTE_CTE.replace("CASE WHEN id % 5 <> 0 THEN strftime(published_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') END AS published", "'2024-01-07 08:00' AS published") \
-    .replace("CASE WHEN id % 4 <> 0 THEN nullif(body, '') END AS nbody", "concat('New body ', id, chr(10)) AS nbody").replace("n AS (SELECT *,", "n AS (SELECT * EXCLUDE (summary), CASE WHEN trim(summary) = '' THEN concat('New ''sum'' ', id) ELSE summary END AS summary,") \
-    .replace("FROM t0)", "FROM t0 WHERE id % 11 <> 0 AND id % 40 = 1 AND len(people) = 0)")
-
-
-@query("note_injection")
+@query("note_injection", """WITH x AS (SELECT url, min(id) AS m FROM items GROUP BY url)
+SELECT id, '2024-01-07 08:00' AS published, CASE WHEN id % 2 = 1 AND summary <> '' THEN nullif(trim(replace(replace(summary, chr(34), chr(39)), chr(10), ' '), concat(' ', chr(39))), '')
+  ELSE concat('New ', chr(39), 'sum', chr(39), ' ', m) END AS summary, concat('New body ', m, chr(10)) AS body FROM items JOIN x USING (url)""")
 def note_injection(d):
     """Bare notes take summary, time and body from a side table."""
     bare = C.render(_note_rows(d, body=False).withColumn("published", F.lit(None).cast("string")).withColumn(
@@ -197,7 +194,9 @@ def note_injection(d):
     extra = d.items().groupBy("url").agg(F.concat(F.lit('New "sum" '), F.min("id").cast("string")).alias("summary"),
                                          F.lit("2024-01-07 08:00").alias("published"), F.concat(F.lit("New body "), F.min("id").cast("string")).alias("body"))
     done = C.parse(C.inject(bare.select("id", "url", "note"), extra).select("id", "note"))
-    return done.select("id", "published", "summary", "body")
+    kept = F.when(F.col("summary").startswith("New 'sum'"), F.col("summary")).otherwise(
+        F.nullif(F.regexp_replace("summary", "^[ ']+|[ ']+$", ""), F.lit("")))
+    return done.select("id", "published", kept.alias("summary"), "body")
 
 
 @query("people_fill", NOTE_CTE + """ SELECT id, array_to_string(people, ',') AS people FROM (SELECT n.id, list_filter([""" +
@@ -231,7 +230,8 @@ def title_upgrade(d):
     return C.upgrade_titles(notes, pages).select("id", "title", "new_name")
 
 
-@query("body_refresh")
+@query("body_refresh", f"""WITH pg AS ({BODY_SQL}) SELECT id, length(CASE WHEN id % 100 < 50 AND length(coalesce(pg.body,'')) > length(nb) THEN pg.body ELSE nb END) AS chars
+FROM (SELECT id, substring(body, 1, CAST(id % 100 AS INT)) AS nb FROM articles) q LEFT JOIN pg ON page_id = id""")
 def body_refresh(d):
     """Thin notes take the body of the landed page with the same number."""
     notes = d.articles().select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("url"), F.substring("body", 1, (F.col("id") % 100).cast("int")).alias("body"))
