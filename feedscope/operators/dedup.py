@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.base import text_or_empty
 from ..functions.titles import title_key
-from .joins import lookup_join
+from .joins import salted_join
 
 
 def first_per_key(df: DataFrame, keys: list, order: list, k: int = 1) -> DataFrame:
@@ -71,7 +71,7 @@ def drop_undated_copies(notes: DataFrame, name: str = "file_name", url: str = "u
     doomed = facts.where((F.col("_with") > 0) & (F.col("_without") > 0) & (one_url if same_url else ~one_url)
                          & ~(F.col("_saved") & (F.col("_with") == 1) & (F.col("_without") == 1))) \
                   .select("_name", F.lit(True).alias("_doomed"))
-    return lookup_join(marked, doomed, ["_name"]) \
+    return salted_join(marked, doomed, ["_name"]) \
         .where(~(F.coalesce(F.col("_doomed"), F.lit(False)) & ~F.col("_dated"))) \
         .drop("_dated", "_name", "_keep", "_doomed")
 

@@ -60,3 +60,9 @@ def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "
     if known_rows <= most if known_rows is not None else is_small(facts, most):
         return rows.join(F.broadcast(facts), keys, how)
     return salted_join(rows, facts, keys, how)
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before costly per-row work; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

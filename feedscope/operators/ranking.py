@@ -24,10 +24,11 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
 
     Range-partition and sort, number rows inside each partition, and add the row
     count of all earlier partitions (one row per partition, so that side is
-    bounded by the shuffle width).  The sorted rows are checkpointed: sampling for
-    the ranges must not happen twice.
+    bounded by the shuffle width).  Rows are written before the range sort, because
+    its sampling reads them an extra time, and after it, because partition numbers
+    must not change between counting and numbering.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) \
+    ranged = cut_lineage(df).repartitionByRange(*order).sortWithinPartitions(*order) \
                .withColumn("_mid", F.monotonically_increasing_id())
     fixed = cut_lineage(ranged)
     part = F.shiftright("_mid", 33)

@@ -8,8 +8,9 @@ from ..functions import notes as N, text as X, titles as T
 from ..functions.base import chars, text_or_empty
 from ..functions.times import local_to_utc, shift_back_if_future
 from ..operators.dedup import first_per_key
-from ..operators.joins import lookup_join
+from ..operators.joins import lookup_join, salted_join
 from ..operators.ranking import global_rank, top_n
+from ..session import cut_lineage
 from . import fixed_values as V, rules, score as scoring
 
 
@@ -56,7 +57,7 @@ def plan_notes(items: DataFrame, existing: DataFrame) -> DataFrame:
     """
     state = existing.groupBy("url").agg(F.max("has_summary").alias("_done"))
     taken = existing.select("note_path", F.lit(True).alias("_taken")).distinct()
-    j = lookup_join(lookup_join(items, state, ["url"]), taken, ["note_path"])
+    j = salted_join(salted_join(items, state, ["url"]), taken, ["note_path"])
     done, stale = F.col("_done"), F.col("_done").isNotNull() & ~F.col("_done")
     return j.where(~F.coalesce(done, F.lit(False)) & (F.col("_taken").isNull() | stale)).drop("_done", "_taken")
 
@@ -145,7 +146,7 @@ def resolve_links(links: DataFrame, files: DataFrame, target: str = "target", na
         .join(by_name.select(F.col(name).alias("_lo"), F.col("_path").alias("_fuzzy")), "_lo").select("_link", "_fuzzy")
     answer = exact.join(fuzzy, "_link", "left").select(
         F.col("_link").alias(target), F.coalesce("_exact", "_fuzzy").alias("resolved_path"))
-    return lookup_join(links, answer, [target])
+    return salted_join(links, answer, [target])
 
 
 def move_library_paths(text: Column | str, moves=tuple(V.LIBRARY_MOVES)) -> Column:
@@ -181,8 +182,8 @@ def rescore(items: DataFrame, sites: DataFrame, as_of: Column, filtered_sites=("
 
 
 def fill_topics(items: DataFrame) -> DataFrame:
-    return items.withColumn("topics", F.when(F.coalesce(F.size("topics"), F.lit(0)) > 0, F.col("topics"))
-                            .otherwise(rules.topics("title")))
+    return rules.lowered(items).withColumn("topics", F.when(F.coalesce(F.size("topics"), F.lit(0)) > 0, F.col("topics"))
+                                           .otherwise(rules.topics())).drop(rules.TITLE_L, rules.TEXT_L)
 
 
 def fill_people(notes: DataFrame, force: bool = False) -> DataFrame:
@@ -257,7 +258,7 @@ def upgrade_titles(notes: DataFrame, pages: DataFrame, limit: int = 30) -> DataF
     moving = F.col("_want") != F.col("file_name")
     claims = named.where(moving).groupBy("folder", "_want").agg(F.min("id").alias("_winner"))
     taken = notes.select("folder", F.col("file_name").alias("_want"), F.lit(True).alias("_taken")).distinct()
-    checked = lookup_join(lookup_join(named, claims, ["folder", "_want"]), taken, ["folder", "_want"])
+    checked = salted_join(salted_join(named, claims, ["folder", "_want"]), taken, ["folder", "_want"])
     free = F.col("_taken").isNull() & (F.col("_winner") == F.col("id"))
     return checked.withColumn("new_name", F.when(moving & free, F.col("_want")).otherwise(F.col("file_name"))) \
                   .drop("_want", "_winner", "_taken")
@@ -308,7 +309,9 @@ def catalogue_entries(notes: DataFrame, id_col: str = "id") -> DataFrame:
         return F.concat(F.lit(f"- {label}: "), F.nullif(value, F.lit("")))
     def bracketed(name):
         return F.concat(F.lit("["), F.array_join(name, ", "), F.lit("]"))
-    ranked = global_rank(notes, [F.col("date").desc_nulls_last(), F.col(id_col).asc()], "position")
+    order = [F.col("date").desc_nulls_last(), F.col(id_col).asc()]
+    # only the sort columns are ranked; texts meet their position by the unique id
+    ranked = notes.join(global_rank(notes.select(id_col, "date"), order, "position").select(id_col, "position"), id_col)
     entry = F.concat_ws(
         "\n", F.concat(F.lit("### "), text_or_empty("date"), F.lit(" | "), text_or_empty("source"), F.lit(" | "),
                        F.col("note_path")),
@@ -321,8 +324,9 @@ def catalogue_entries(notes: DataFrame, id_col: str = "id") -> DataFrame:
 
 def catalogue_topics(notes: DataFrame, k: int = 30, id_col: str = "id") -> DataFrame:
     """Newest ``k`` notes per tag; ``n`` counts all of them."""
-    each = notes.select(id_col, "date", "note_path", F.explode("tags").alias("tag")) \
-                .where((F.col("tag") != "") & ~F.col("tag").isin(V.CATALOG_SKIPPED_TAGS))
+    each = notes.select(id_col, "date", "note_path", F.explode_outer("tags").alias("tag")) \
+                .where(F.col("tag").isNotNull() & (F.col("tag") != "") & ~F.col("tag").isin(V.CATALOG_SKIPPED_TAGS))
+    each = cut_lineage(each)  # read twice below
     total = each.groupBy("tag").agg(F.count("*").alias("n"))
     heads = first_per_key(each, ["tag"], [F.col("date").desc_nulls_last(), F.col(id_col)], k)
     w = Window.partitionBy("tag").orderBy(F.col("date").desc_nulls_last(), F.col(id_col))

@@ -39,10 +39,10 @@ def merge(existing: DataFrame, new: DataFrame, as_of: Column, order_col: str = "
 
 def refresh(items: DataFrame, pack: rules.RulePack = rules.RulePack()) -> DataFrame:
     """Re-clean titles, recompute regions, fill missing topics; the score stays as captured."""
-    t = items.withColumn("title", strip_title_suffix("title"))
-    return t.withColumn("region", rules.region("title", "home_region", pack)).withColumn(
-        "topics", F.when(F.coalesce(F.size("topics"), F.lit(0)) > 0, F.col("topics"))
-        .otherwise(rules.topics("title", pack)))
+    t = rules.lowered(items.withColumn("title", strip_title_suffix("title")))
+    return t.withColumn("region", rules.region(pack=pack)).withColumn(
+        "topics", F.when(F.coalesce(F.size("topics"), F.lit(0)) > 0, F.col("topics")).otherwise(rules.topics(pack=pack))) \
+        .drop(rules.TITLE_L, rules.TEXT_L)
 
 
 def unseen(new: DataFrame, known: DataFrame, title: str = "title") -> DataFrame:

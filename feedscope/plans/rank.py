@@ -43,8 +43,9 @@ def list_page(items: DataFrame, as_of: Column, dimension=None, place=None, perio
 
 def topic_nodes(items: DataFrame, topics: str = "topics") -> DataFrame:
     """Items per topic and the drawing size, the largest topic being 60."""
-    counts = items.select(F.explode(F.array_distinct(topics)).alias("topic")).groupBy("topic") \
-                  .agg(F.count("*").alias("n"))
+    # an outer explode keeps the optimizer from testing (and so computing) the tags twice
+    counts = items.select(F.explode_outer(F.array_distinct(topics)).alias("topic")).where("topic IS NOT NULL") \
+                  .groupBy("topic").agg(F.count("*").alias("n"))
     # one row per topic tag: the tag list is the bound of this window
     top = F.max("n").over(Window.partitionBy())
     return counts.withColumn("size", (22 + F.floor(F.col("n") / top * 38 + 0.5)).cast("long"))
@@ -57,11 +58,11 @@ def topic_edges(items: DataFrame, topics: str = "topics") -> DataFrame:
     """
     pairs = let(F.array_sort(F.array_distinct(topics)), lambda ts: F.flatten(F.transform(ts, lambda a: F.transform(
         F.filter(ts, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    return items.where(F.size(topics) > 1).select(F.explode(pairs).alias("p")) \
+    return items.select(F.explode_outer(pairs).alias("p")).where("p IS NOT NULL") \
                 .groupBy(F.col("p.a").alias("topic_a"), F.col("p.b").alias("topic_b")).agg(F.count("*").alias("n"))
 
 
 def topic_summary(items: DataFrame, topics: str = "topics") -> DataFrame:
     """One row: distinct topics and items that carry at least one."""
-    each = items.select(F.posexplode(topics).alias("pos", "topic"))
+    each = items.select(F.posexplode_outer(topics).alias("pos", "topic"))
     return each.agg(F.count_if(F.col("pos") == 0).alias("tagged_items"), F.countDistinct("topic").alias("topics"))

@@ -32,30 +32,42 @@ class RulePack:
     strict_words: bool = False
 
 
-def words_pattern(words, short: int = 0) -> str:
-    """One alternation over lower-cased words.
+TITLE_L, TEXT_L = "_title_l", "_text_l"
 
-    Latin words of at most ``short`` letters must not touch another Latin letter.
-    The guard uses plain character classes, so Java and RE2 agree on Han text.
+
+def lowered(df: DataFrame) -> DataFrame:
+    """Add the lower-cased title and title-plus-summary the word tests look at."""
+    summary = text_or_empty("summary") if "summary" in df.columns else F.lit("")
+    return df.withColumns({TITLE_L: F.lower(text_or_empty("title")),
+                           TEXT_L: F.lower(F.concat_ws(" ", text_or_empty("title"), summary))})
+
+
+def _contains_any(words) -> str:
+    """One literal array instead of one expression per word keeps plans small."""
+    quoted = ("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return f"exists(array({', '.join(quoted)}), w -> contains(t, w))"
+
+
+def has_word(where: str, words, short: int = 0, border: str = "[^a-z]", any_ascii: bool = False) -> Column:
+    """Does the lower-cased text column hold one of the words?
+
+    Latin words of at most ``short`` letters must stand alone.  Plain substring tests
+    run first (they are many times cheaper than one long alternation), so the pattern
+    with the borders is only tried on texts that hold such a word at all.  The text is
+    named once: a filter pushed below the projection would otherwise rebuild it per word.
     """
     lower = [w.lower() for w in words]
-    guarded = [w for w in lower if w.isascii() and w.isalpha() and len(w) <= short]
-    free = [w for w in lower if w not in guarded]
-    parts = []
-    if free:
-        parts.append("|".join(escape(w) for w in free))
-    if guarded:
-        parts.append("(?:^|[^a-z])(?:" + "|".join(guarded) + ")(?:[^a-z]|$)")
-    return "|".join(parts)
-
-
-def word_bounded_pattern(words, short: int = 4) -> tuple[str, str]:
-    """(free words, short ASCII words that need a word border in the Python sense)."""
-    lower = [w.lower() for w in words]
-    tight = [w for w in lower if w.isascii() and len(w) <= short]
-    edge = r"[^\p{L}\p{N}_]"
-    return (any_of([w for w in lower if w not in tight]),
-            rf"(?:^|{edge})(?:{'|'.join(escape(w) for w in tight)})(?:{edge}|$)")
+    alone = [w for w in lower if w.isascii() and len(w) <= short and (any_ascii or w.isalpha())]
+    free = [w for w in lower if w not in alone]
+    parts = [_contains_any(free)] if free else []
+    if alone:
+        pattern = f"(?:^|{border})(?:{'|'.join(escape(w) for w in alone)})(?:{border}|$)"
+        parts.append(f"({_contains_any(alone)} AND t RLIKE r'{pattern}')")
+    test = " OR ".join(parts) if parts else "false"
+    return F.expr(f"get(transform(array({where}), t -> {test}), 0)")
+
+
+WORD_BORDER = r"[^\p{L}\p{N}_]"
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -71,75 +83,61 @@ def registry(spark: SparkSession) -> DataFrame:
               "site_class string, category string, window_hours int, site_rank int")
 
 
-def _lower(title, summary=None) -> Column:
-    if summary is None:
-        return F.lower(text_or_empty(title))
-    return F.lower(F.concat_ws(" ", text_or_empty(title), text_or_empty(summary)))
-
-
 @built_once
-def is_relevant(title, url, summary, site_class, pack: RulePack = RulePack()) -> Column:
-    """First test that applies to the site's class decides."""
-    text, t, u = _lower(title, summary), _lower(title), F.lower(text_or_empty(url))
+def is_relevant(url="url", site_class="site_class", pack: RulePack = RulePack()) -> Column:
+    """First test that applies to the site's class decides (needs ``lowered``)."""
     short = 4 if pack.strict_words else 0
-    word_hit = text.rlike(words_pattern(pack.relevance, short)) | text.rlike(words_pattern(pack.ai_words, short))
-    free, tight = word_bounded_pattern(pack.relevance)
-    url_hit = ~u.contains(V.AGGREGATOR_HOST) & u.rlike(words_pattern(pack.relevance, short))
+    word_hit = has_word(TEXT_L, pack.relevance, short) | has_word(TEXT_L, pack.ai_words, short)
+    title_hit = has_word(TITLE_L, pack.relevance, 4, WORD_BORDER, any_ascii=True)
+    u = F.lower(text_or_empty(url))
+    url_hit = ~u.contains(V.AGGREGATOR_HOST) & has_word(f"lower(coalesce({url}, ''))", pack.relevance, short)
     klass = F.coalesce(col(site_class), F.lit("keyword"))
     return (F.when(klass.isin("green", "ai", "robot"), F.lit(True))
             .when(klass.isin("tech", "ai_media", "social"), word_hit)
-            .otherwise(t.rlike(free) | t.rlike(tight) | url_hit))
+            .otherwise(title_hit | url_hit))
 
 
 @built_once
-def dimension(site_id, title, summary, library, site_class, pack: RulePack = RulePack()) -> Column:
-    """One of the four views of an item; first match in this order."""
-    text, t = _lower(title, summary), _lower(title)
+def dimension(site_id="site_id", library="library", site_class="site_class", pack: RulePack = RulePack()) -> Column:
+    """One of the four views of an item; first match in this order (needs ``lowered``)."""
     short = 4 if pack.strict_words else 0
     klass = F.coalesce(col(site_class), F.lit("keyword"))
-
-    def has(where, words):
-        return where.rlike(words_pattern(words, short))
-
     chain = F
     for site, dim in pack.site_dimension.items():
         chain = chain.when(col(site_id) == site, F.lit(dim))
     return (chain.when(klass == "ai", F.lit(V.DIM_AI))
-            .when(klass == "tech", F.when(has(text, pack.ai_words), F.lit(V.DIM_AI)).otherwise(F.lit(V.DIM_INDUSTRY)))
-            .when(has(t, pack.government_words), F.lit(V.DIM_POLICY))
-            .when(has(text, pack.finance_words), F.lit(V.DIM_MARKET))
-            .when(has(text, pack.dual_carbon_words), F.lit(V.DIM_INDUSTRY))
-            .when(has(t, pack.ai_words) | t.rlike("(?:^|[^a-z])ai(?:[^a-z]|$)"), F.lit(V.DIM_AI))
-            .when(has(text, pack.industry_words), F.lit(V.DIM_INDUSTRY))
+            .when((klass == "tech") & has_word(TEXT_L, pack.ai_words, short), F.lit(V.DIM_AI))
+            .when(klass == "tech", F.lit(V.DIM_INDUSTRY))
+            .when(has_word(TITLE_L, pack.government_words, short), F.lit(V.DIM_POLICY))
+            .when(has_word(TEXT_L, pack.finance_words, short), F.lit(V.DIM_MARKET))
+            .when(has_word(TEXT_L, pack.dual_carbon_words, short), F.lit(V.DIM_INDUSTRY))
+            .when(has_word(TITLE_L, pack.ai_words, short) | has_word(TITLE_L, ["ai"], 2), F.lit(V.DIM_AI))
+            .when(has_word(TEXT_L, pack.industry_words, short), F.lit(V.DIM_INDUSTRY))
             .when(col(library) == "policy", F.lit(V.DIM_POLICY))
-            .when(has(text, pack.policy_weak_words), F.lit(V.DIM_POLICY))
+            .when(has_word(TEXT_L, pack.policy_weak_words, short), F.lit(V.DIM_POLICY))
             .otherwise(F.lit(V.DIM_INDUSTRY)))
 
 
 @built_once
-def region(title, home_region, pack: RulePack = RulePack()) -> Column:
+def region(home_region="home_region", pack: RulePack = RulePack()) -> Column:
     """Region named in the title (first list wins), else the site's home, else international."""
-    t = _lower(title)
     chain = F
     for name, words in pack.regions:
-        chain = chain.when(t.rlike(words_pattern(words)), F.lit(name))
+        chain = chain.when(has_word(TITLE_L, words), F.lit(name))
     return chain.otherwise(F.coalesce(F.nullif(col(home_region), F.lit("")), F.lit(V.DEFAULT_REGION)))
 
 
 @built_once
-def topics(title, pack: RulePack = RulePack()) -> Column:
-    """Every topic tag whose words hit the title, in rule order."""
-    t = _lower(title)
-    return F.array_compact(F.array(*[F.when(t.rlike(words_pattern(words, 3)), F.lit(tag))
-                                     for tag, words in pack.topics]))
+def topics(pack: RulePack = RulePack()) -> Column:
+    """Every topic tag whose words hit the title, in rule order (needs ``lowered``)."""
+    return F.array_compact(F.array(*[F.when(has_word(TITLE_L, words, 3), F.lit(tag)) for tag, words in pack.topics]))
 
 
 @built_once
-def document_type(title, pack: RulePack = RulePack()) -> Column:
-    t = _lower(title)
+def document_type(pack: RulePack = RulePack()) -> Column:
     chain = F
     for name, words in pack.document_types:
-        chain = chain.when(t.rlike(words_pattern(words)), F.lit(name))
+        chain = chain.when(has_word(TITLE_L, words), F.lit(name))
     return chain.otherwise(F.lit(V.DOCUMENT_TYPE_DEFAULT))
 
 
@@ -192,14 +190,14 @@ def people_score(people_col, pack: RulePack = RulePack(), exact_deputies: bool =
 
 
 @built_once
-def strength_score(dimension_col, title, summary, pack: RulePack = RulePack()) -> Column:
-    text, d = _lower(title, summary), col(dimension_col)
-    short = 4 if pack.strict_words else 0
+def strength_score(dimension_col="dimension", pack: RulePack = RulePack()) -> Column:
+    """Points of the first tier of the dimension's ladder that hits (needs ``lowered``)."""
+    d, short = col(dimension_col), 4 if pack.strict_words else 0
 
     def ladder(tiers):
         chain = F
         for points, words in tiers:
-            chain = chain.when(text.rlike(words_pattern(words, short)), F.lit(points))
+            chain = chain.when(has_word(TEXT_L, words, short), F.lit(points))
         return chain.otherwise(F.lit(V.STRENGTH_DEFAULT))
     chain = F
     for name, tiers in pack.strength.items():
@@ -209,12 +207,10 @@ def strength_score(dimension_col, title, summary, pack: RulePack = RulePack()) -
 
 
 @built_once
-def topic_score(title, summary, pack: RulePack = RulePack()) -> Column:
-    text = _lower(title, summary)
-    short = 4 if pack.strict_words else 0
+def topic_score(pack: RulePack = RulePack()) -> Column:
     chain = F
     for points, words in pack.topic_tiers:
-        chain = chain.when(text.rlike(words_pattern(words, short)), F.lit(points))
+        chain = chain.when(has_word(TEXT_L, words, 4 if pack.strict_words else 0), F.lit(points))
     return chain.otherwise(F.lit(V.TOPIC_DEFAULT))
 
 

@@ -23,23 +23,21 @@ def with_site_facts(items: DataFrame, sites: DataFrame, columns=None, known_rows
 
 def classify(items: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
     """Add ``dimension, region, topics, people`` (needs the site facts)."""
-    return items.withColumns({
-        "dimension": rules.dimension("site_id", "title", "summary", "library", "site_class", pack),
-        "region": rules.region("title", "home_region", pack),
-        "topics": rules.topics("title", pack),
+    return rules.lowered(items).withColumns({
+        "dimension": rules.dimension(pack=pack), "region": rules.region(pack=pack), "topics": rules.topics(pack=pack),
         "people": rules.people("title", "summary", pack=pack),
-    })
+    }).drop(rules.TITLE_L, rules.TEXT_L)
 
 
 def score(items: DataFrame, as_of: Column, pack: RulePack = RulePack(), exact_deputies: bool = False) -> DataFrame:
     """Add the five parts, ``score`` and ``score_level`` (needs ``classify``)."""
-    parts = items.withColumns({
+    parts = rules.lowered(items).withColumns({
         "src_score": F.col("authority").cast("int"),
-        "strength": rules.strength_score("dimension", "title", "summary", pack),
-        "topic": rules.topic_score("title", "summary", pack),
+        "strength": rules.strength_score(pack=pack),
+        "topic": rules.topic_score(pack=pack),
         "people_score": rules.people_score("people", pack, exact_deputies),
         "freshness": rules.freshness_score("published_at", as_of),
-    })
+    }).drop(rules.TITLE_L, rules.TEXT_L)
     total = F.least(F.lit(100), F.col("src_score") + F.col("strength") + F.col("topic")
                     + F.col("people_score") + F.col("freshness"))
     return parts.withColumn("score", total).withColumn("score_level", rules.level("score"))
@@ -55,13 +53,13 @@ def enrich(items: DataFrame, sites: DataFrame, as_of: Column, pack: RulePack = R
 
 
 def relevant(items: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
-    return items.where(rules.is_relevant("title", "url", "summary", "site_class", pack))
+    return rules.lowered(items).where(rules.is_relevant(pack=pack)).drop(rules.TITLE_L, rules.TEXT_L)
 
 
 def drop_off_topic(items: DataFrame, site_ids, pack: RulePack = RulePack()) -> DataFrame:
     """Remove rows of the given sites that fail the relevance test; other sites stay."""
-    keep = rules.is_relevant("title", "url", "summary", "site_class", pack)
-    return items.where(~F.col("site_id").isin(list(site_ids)) | keep)
+    kept = rules.lowered(items).where(~F.col("site_id").isin(list(site_ids)) | rules.is_relevant(pack=pack))
+    return kept.drop(rules.TITLE_L, rules.TEXT_L)
 
 
 def in_window(items: DataFrame, as_of: Column, hours: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.joins import spread_if_narrow
 from ..plans import fixed_values as V, rules, score as scoring
 from ..session import ship_package, use_utc
 
@@ -36,7 +37,7 @@ BASE_SQL = {
 SELECT doc_id AS id,
        split_part('{",".join(SITE_IDS)}', ',', CAST(doc_id % {len(SITE_IDS)} + 1 AS INT)) AS site_id,
        concat(split_part('{"|".join(PHRASES)}', '|', CAST(doc_id % {len(PHRASES)} + 1 AS INT)), ' ',
-              substring(split_part(text, chr(10), 1), 1, 100)) AS title,
+              substring(split_part(substring(text, 1, 200), chr(10), 1), 1, 100)) AS title,
        CASE WHEN doc_id % 9 = 0 THEN '' ELSE
          concat(CASE WHEN doc_id % 6 = 0 THEN
                   concat(split_part('{"|".join(PHRASES)}', '|', CAST(doc_id % 37 + 1 AS INT)), ' ') ELSE '' END,
@@ -50,7 +51,7 @@ SELECT doc_id AS id,
 FROM {{documents}}""",
     # the documents as they are: first line as title, source as site
     "articles": """
-SELECT doc_id AS id, source AS site_id, substring(split_part(text, chr(10), 1), 1, 120) AS title,
+SELECT doc_id AS id, source AS site_id, substring(split_part(substring(text, 1, 200), chr(10), 1), 1, 120) AS title,
        substring(text, 1, 260) AS summary,
        concat('https://', source, '.example.org/', CAST(CAST(floor(doc_id / 40) AS BIGINT) AS VARCHAR(20)),
               '?ref=', lang) AS url,
@@ -72,7 +73,8 @@ class Data:
         ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_if_narrow(df) if name in ("documents", "pages") else df
 
     def sql(self, text: str) -> DataFrame:
         used = [t for t in TABLES if "{" + t + "}" in text]

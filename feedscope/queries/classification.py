@@ -10,7 +10,7 @@ from .base import AS_OF_SQL, has_any, ladder, query, quoted
 
 @query("relevance", "SELECT id, site_class, relevant FROM classified")
 def relevance(d):
-    return d.with_sites().select("id", "site_class", rules.is_relevant("title", "url", "summary", "site_class").alias("relevant"))
+    return rules.lowered(d.with_sites()).select("id", "site_class", rules.is_relevant().alias("relevant"))
 
 
 @query("relevant_counts", "SELECT site_id, count(*) AS n FROM classified WHERE relevant GROUP BY site_id")
@@ -25,12 +25,12 @@ def source_scores(d):
 
 @query("content_strength", "SELECT id, dimension, strength FROM parts")
 def content_strength(d):
-    return d.classified().select("id", "dimension", rules.strength_score("dimension", "title", "summary").alias("strength"))
+    return rules.lowered(d.classified()).select("id", "dimension", rules.strength_score().alias("strength"))
 
 
 @query("topic_scores", "SELECT id, topic FROM parts")
 def topic_scores(d):
-    return d.items().select("id", rules.topic_score("title", "summary").alias("topic"))
+    return rules.lowered(d.items()).select("id", rules.topic_score().alias("topic"))
 
 
 @query("dimensions", "SELECT id, dimension FROM classified")
@@ -44,8 +44,7 @@ def dimensions(d):
 def strict_dimensions(d):
     """Whole-word mode of the word lists."""
     kind = F.when(F.col("site_class") == "ai", "AI").when(F.col("site_class") == "tech", "X").otherwise("Y")
-    text = F.lower(F.concat_ws(" ", "title", "summary"))
-    return d.with_sites().select("id", kind.alias("kind"), text.rlike(rules.words_pattern(V.FINANCE_WORDS, 4)).alias("finance"))
+    return rules.lowered(d.with_sites()).select("id", kind.alias("kind"), rules.has_word(rules.TEXT_L, V.FINANCE_WORDS, 4).alias("finance"))
 
 
 @query("region_split", "SELECT region, count(*) AS n FROM classified GROUP BY region")
@@ -55,12 +54,12 @@ def region_split(d):
 
 @query("regions", "SELECT id, region FROM classified")
 def regions(d):
-    return d.with_sites().select("id", rules.region("title", "home_region").alias("region"))
+    return rules.lowered(d.with_sites()).select("id", rules.region().alias("region"))
 
 
 @query("topic_tags", "SELECT id, array_to_string(topics, ',') AS topics FROM classified")
 def topic_tags(d):
-    return d.items().select("id", F.array_join(rules.topics("title"), ",").alias("topics"))
+    return rules.lowered(d.items()).select("id", F.array_join(rules.topics(), ",").alias("topics"))
 
 
 TYPE_SQL = ladder([(has_any("tl", ws), quoted(n)) for n, ws in V.DOCUMENT_TYPES], "'行业动态'")
@@ -68,14 +67,14 @@ TYPE_SQL = ladder([(has_any("tl", ws), quoted(n)) for n, ws in V.DOCUMENT_TYPES]
 
 @query("document_types", f"SELECT id, {TYPE_SQL} AS document_type FROM sited")
 def document_types(d):
-    return d.items().select("id", rules.document_type("title").alias("document_type"))
+    return rules.lowered(d.items()).select("id", rules.document_type().alias("document_type"))
 
 
 @query("auto_tags", f"""WITH t AS (SELECT id, region AS r, topics, {TYPE_SQL} AS k FROM classified),
 l AS (SELECT id, list_concat([r], topics, [k], CASE WHEN len(list_filter(topics, lambda v: v <> r AND v <> k)) = 0 THEN ['行业动态'] ELSE [] END) AS tags FROM t)
 SELECT id, array_to_string(list_filter(tags, lambda v, i: list_position(tags, v) = i), ',') AS tags FROM l""")
 def auto_tags(d):
-    c = d.classified().withColumn("document_type", rules.document_type("title"))
+    c = rules.lowered(d.classified()).withColumn("document_type", rules.document_type())
     return c.select("id", F.array_join(rules.tags("region", "topics", "document_type"), ",").alias("tags"))
 
 

@@ -18,7 +18,7 @@ def _note_rows(d, body=True):
     c = d.classified().join(F.broadcast(d.sites.select("site_id", F.col("site_name"))), "site_id", "left")  # 70 fixed rows
     c = c.withColumn("site_name", F.coalesce("site_name", "site_id"))
     tags = rules.tags("region", "topics", "document_type")
-    c = c.withColumn("document_type", rules.document_type("title")).withColumn("tags", tags)
+    c = rules.lowered(c).withColumn("document_type", rules.document_type()).withColumn("tags", tags).drop(rules.TITLE_L, rules.TEXT_L)
     return c.withColumn("keywords", X.keyword_list("tags", "title")).withColumn(
         "published", F.when(F.col("id") % 5 != 0, local_minute_text("published_at"))).withColumn(
         "author", F.when(F.col("id") % 7 == 0, F.concat(F.lit('desk "'), "lang", F.lit('"')))).withColumn(

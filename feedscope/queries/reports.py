@@ -227,7 +227,7 @@ def junk_share(d):
 @query("hit_rate", "SELECT site_id, count(*) AS n, count(*) FILTER (relevant) AS hits, round(count(*) FILTER (relevant) / count(*), 9) AS rate FROM classified GROUP BY 1")
 def hit_rate(d):
     from ..plans import rules
-    out = analytics.hit_rate(d.with_sites(), "site_id", rules.is_relevant("title", "url", "summary", "site_class"))
+    out = analytics.hit_rate(rules.lowered(d.with_sites()), "site_id", rules.is_relevant())
     return out.withColumn("rate", F.round("rate", 9))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,12 +50,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives executor loss."""
-    spark = df.sparkSession
-    root = checkpoint_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Write the rows to a table in the shared folder and go on from there.
+
+    Unlike ``checkpoint()`` this computes the rows once.  The table outlives any executor.
+    """
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/feedscope/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
