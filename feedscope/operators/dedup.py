@@ -16,7 +16,10 @@ from .joins import salted_join
 
 
 def first_per_key(df: DataFrame, keys: list, order: list, k: int = 1) -> DataFrame:
-    """The first ``k`` rows of every key under a total order."""
+    """The first ``k`` rows of every key under a total order.
+
+    The early group limit applies up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000) rows.
+    """
     names = []
     for i, key in enumerate(keys):
         names.append(f"_k{i}")

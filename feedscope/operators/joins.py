@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as D
 
 MAX_BROADCAST_ROWS = 10_000
 SALTS = 64
@@ -44,7 +44,8 @@ def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "
     """
     hot = hot_keys(rows, keys) if hot is None else hot
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spread = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
+    content = [f.name for f in rows.schema if isinstance(f.dataType, D.AtomicType)]
+    spread = F.pmod(F.xxhash64(*content, F.spark_partition_id()), F.lit(salts)).cast("int")
     salted = rows.withColumn("_salt", F.when(no_key | _is_hot(keys, hot), spread).otherwise(F.lit(0)))
     copies = F.when(_is_hot(keys, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = facts.withColumn("_salt", F.explode(copies)) if hot else facts.withColumn("_salt", F.lit(0))

@@ -34,8 +34,11 @@ def _paragraph(parts: list[Column]) -> Column:
 
 
 def text(picked: DataFrame, generated_day: str, site_count: int = V.DIGEST_SITES, id_col: str = "id",
-         heading: str = "🌿 绿色低碳动态雷达 · 当日高分浓缩") -> DataFrame:
-    """The digest as one row ``digest``.  ``picked`` is the bounded result of ``pick``."""
+         heading: str = "当日高分浓缩", footer: str = "") -> DataFrame:
+    """The digest as one row ``digest``.  ``picked`` is the bounded result of ``pick``.
+
+    ``heading`` and ``footer`` are the publisher's own first and last line.
+    """
     order = Window.partitionBy("dimension").orderBy(F.col("score").desc(), F.col(id_col))
     dim = F.coalesce(F.nullif("dimension", F.lit("")), F.lit("其他"))
     title = clean_digest_title("title")
@@ -67,7 +70,7 @@ def text(picked: DataFrame, generated_day: str, site_count: int = V.DIGEST_SITES
         F.lit(f"{heading}\n📅 {generated_day} ｜ {site_count} 个信源 ｜ A级以上精选 "), F.col("n").cast("string"),
         F.lit(" 条\n\n"), F.array_join(F.transform("s", lambda x: F.concat(x["block"], F.lit("\n"))), ""),
         F.lit("📊 分布："), F.array_join(F.transform("s", lambda x: x["share"]), " / "),
-        F.lit(f"\n\n—— 绿色低碳动态雷达 · {V.DIGEST_SITES} 信源 · 政策/技术/金融/AI科技 四维 ——\n")).alias("digest"))
+        F.lit(f"\n\n{footer}\n" if footer else "\n")).alias("digest"))
 
 
 def distribution(picked: DataFrame) -> DataFrame:

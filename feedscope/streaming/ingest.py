@@ -7,8 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.titles import title_key
 from ..operators.dedup import first_per_key
-from ..operators.joins import lookup_join
-from ..plans import history as H
+from ..plans import fixed_values as V, history as H
 
 
 def suppress_repeats(stream: DataFrame, ts: str = "published_at", keep_for: str = "504 hours",
@@ -40,13 +39,18 @@ class HistoryTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def append(self, batch: DataFrame, batch_id: int, order: list[Column]) -> None:
+    def append(self, batch: DataFrame, batch_id: int, order: list[Column], as_of: Column | None = None,
+               days: int = V.RETENTION_DAYS) -> None:
+        """Add a micro-batch.  With ``as_of``, stored rows that have aged out no longer count as known."""
         keyed = batch.withColumn("_key", H.merge_key()).where(F.col("_key").isNotNull())
         fresh = first_per_key(keyed, ["_key"], order)
         if batch_id > 0:
             known = self.spark.read.option("basePath", self.root).parquet(self.root) \
-                        .where(F.col("batch") < batch_id).select("_key")
-            fresh = lookup_join(fresh, known, ["_key"], "left_anti")
+                        .where(F.col("batch") < batch_id)
+            if as_of is not None:
+                known = H.retained(known, as_of, days)
+            # keys are unique on both sides, so this shuffles evenly and reads one column (two with ``as_of``)
+            fresh = fresh.join(known.select("_key").distinct(), "_key", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
     def read(self, as_of: Column, days: int) -> DataFrame:
@@ -55,9 +59,9 @@ class HistoryTable:
 
 
 def accumulate(stream: DataFrame, table: HistoryTable, checkpoint: str, order: list[Column],
-               prepare=lambda batch: batch) -> StreamingQuery:
+               prepare=lambda batch: batch, as_of: Column | None = None) -> StreamingQuery:
     """Clean, score and append every micro-batch, then stop when the landed files are used up."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.append(prepare(batch), batch_id, order)
+        table.append(prepare(batch), batch_id, order, as_of)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
                  .trigger(availableNow=True).start()

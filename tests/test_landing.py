@@ -34,6 +34,23 @@ def test_feed_files(spark, tmp_path):
     assert [(r["title"], r["source"], r["published_at"].isoformat()) for r in rows] == [("A & B", "S", "2024-01-02T10:00:00")]
 
 
+def test_atom_files(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<feed><entry><title>T</title><link rel="self" href="http://x/self"/><link href="http://x/1"/><updated>2024-01-02T10:00:00Z</updated>'
+                                    '<author><name>N</name></author></entry><entry><title>U</title><link rel="alternate" href="http://x/2"/></entry></feed>')
+    e = payloads.read_feed_files(spark, str(tmp_path / "a.xml"), "entry").withColumn("site_id", F.lit("s")).withColumn("site_name", F.lit("S"))
+    rows = sorted((r["title"], r["url"], r["source"], r["published_at"] and r["published_at"].isoformat()) for r in payloads.feed_items(e).collect())
+    assert rows == [("T", "http://x/1", "N", "2024-01-02T10:00:00"), ("U", "http://x/2", "S", None)]
+
+
+def test_aged_out_titles_come_back(spark, tmp_path):
+    table = ingest.HistoryTable(spark, str(tmp_path / "t"))
+    row = spark.createDataFrame([(1, "A title", "u")], "id int, title string, url string")
+    table.append(row.withColumn("published_at", F.lit("2023-10-01").cast("timestamp")), 0, [F.col("id")])
+    table.append(row.withColumn("published_at", as_of()), 1, [F.col("id")], as_of())
+    table.append(row.withColumn("published_at", as_of()), 2, [F.col("id")], as_of())
+    assert [r["published_at"].isoformat() for r in table.read(as_of(), 62).collect()] == ["2024-01-31T00:00:00"]
+
+
 def test_note_files_round_trip(spark, tmp_path):
     rows = [("政策库/中国/部/2024-01-01 标题 a.md", "---\nsource: \"部\"\nurl: http://x/1\ndate: 2024-01-01\ntags: [t1, t2]\nurl: http://x/2\n---\n\n# 标题 a\n\n## 正文\n\nline: 1\nline 2"),
             ("媒体库/b+c/plain.md", "no front matter"), ("政策库/政策库.md", "index")]
