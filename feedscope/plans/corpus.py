@@ -122,10 +122,11 @@ def resolve_links(links: DataFrame, files: DataFrame, target: str = "target", na
     links have (and the other way round), and each cut is reduced to its smallest
     and largest name before it meets the links, so no pairs are listed.
     """
-    by_name = files.groupBy(name).agg(F.min(path).alias("_path"), F.max(path).alias("_path2"))
+    by_name = cut_lineage(files.groupBy(name).agg(F.min(path).alias("_path"), F.max(path).alias("_path2")))
     wanted = links.select(F.col(target).alias("_link")).where("_link <> ''").distinct()
     exact = wanted.join(by_name.select(F.col(name).alias("_link"), F.lit(True).alias("_known"), F.when(
         F.col("_path") == F.col("_path2"), F.col("_path")).alias("_exact")), "_link", "left")
+    exact = cut_lineage(exact)  # small: one row per distinct link, read four times below
     open_links = exact.where(F.col("_known").isNull()).select("_link")
     names = by_name.select(F.col(name).alias("_n"))
     n, size = F.col("_n"), chars("_n")
@@ -213,6 +214,7 @@ def repair_times(index: DataFrame, items: DataFrame, extracted: DataFrame) -> tu
     suspects = suspect_times(index, items).select("url")
     verdict = lookup_join(suspects, extracted.select("url", F.col("published").alias("_new")), ["url"]) \
         .withColumn("_suspect", F.lit(True))
+    verdict = cut_lineage(verdict)  # both results read it
     idx = lookup_join(index, verdict, ["url"])
     new_index = idx.where(F.col("_suspect").isNull() | F.col("_new").isNotNull()) \
                    .withColumn("published", F.coalesce("_new", "published")).drop("_new", "_suspect")

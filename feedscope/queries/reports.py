@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking
 from ..plans import analytics, digest, fixed_values as V, health, rank, score as scoring
+from ..session import cut_lineage
 from ..sources import sinks
 from .base import AS_OF_SQL, query
 
@@ -239,13 +240,13 @@ def health_series(d):
 
 @query("health_retain", "SELECT snap, site_id, n FROM health WHERE snap IN (SELECT DISTINCT snap FROM health ORDER BY snap DESC LIMIT 192)")
 def health_retain(d):
-    return health.retain(d.base("health")).select("snap", "site_id", "n")
+    return health.retain(cut_lineage(d.base("health"))).select("snap", "site_id", "n")
 
 
 @query("health_append", """WITH top AS (SELECT max(snap) AS m FROM health), a AS (SELECT snap, site_id, n FROM health WHERE snap <> (SELECT m FROM top) UNION ALL SELECT snap, site_id, n + 1000 FROM health WHERE snap = (SELECT m FROM top))
 SELECT snap, site_id, n FROM a WHERE snap IN (SELECT DISTINCT snap FROM a ORDER BY snap DESC LIMIT 192)""")
 def health_append(d):
-    series = d.base("health")
+    series = cut_lineage(d.base("health"))  # read more than once
     last = health.snapshots(series, 1).select("snap")
     entry = series.join(F.broadcast(last), "snap").withColumn("n", F.col("n") + 1000)  # one snapshot time
     return health.append_snapshot(series, entry).select("snap", "site_id", "n")
@@ -259,7 +260,7 @@ k AS (SELECT stop.site_id, sat - 1 AS streak, (SELECT g.snap FROM g WHERE g.site
 
 @query("health_streaks", STREAK_CTE + " SELECT site_id, streak, last_ok FROM k")
 def health_streaks(d):
-    return health.failure_streaks(d.base("health"))
+    return health.failure_streaks(cut_lineage(d.base("health")))
 
 
 @query("health_streaks_strict", """WITH health2 AS (SELECT snap, site_id, ok AND n % 3 = 0 AS ok FROM health WHERE n % 7 <> 0),
@@ -269,7 +270,7 @@ stop AS (SELECT site_id, coalesce(min(age) FILTER (ok IS NULL OR ok), 97) AS sat
 SELECT stop.site_id, sat - 1 AS streak, (SELECT g.snap FROM g WHERE g.site_id = stop.site_id AND g.age = sat AND g.ok) AS last_ok FROM stop""")
 def health_streaks_strict(d):
     """The same with more failures and gaps."""
-    series = d.base("health").where("n % 7 <> 0").withColumn("ok", F.col("ok") & (F.col("n") % 3 == 0))
+    series = cut_lineage(d.base("health").where("n % 7 <> 0").withColumn("ok", F.col("ok") & (F.col("n") % 3 == 0)))
     return health.failure_streaks(series)
 
 
@@ -286,7 +287,7 @@ def health_board(d):
 
 @query("status_table", """WITH c AS (SELECT site_id, max(snap) AS snap FROM health GROUP BY 1) SELECT h.site_id, h.ok, h.n AS item_count, 'other' AS category FROM health h JOIN c USING (site_id, snap)""")
 def status_table(d):
-    series = d.base("health")
+    series = cut_lineage(d.base("health"))  # read more than once
     status = health.latest_entry_per_site(series).select("site_id", "ok", F.col("n").alias("item_count"))
     out = health.status_table(status, health.failure_streaks(series).select("site_id", "streak"), d.sites)
     return out.select("site_id", "ok", "item_count", "category")

@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def feed_summary(kept: DataFrame, raw: DataFrame, as_of: Column, window_hours: int = 96) -> DataFrame:
     """The one-row head of a windowed feed."""
-    k = kept.agg(F.count("*").alias("total_items"), F.countDistinct("site_id").alias("site_count")) \
-            .withColumn("_j", F.lit(1))
-    r = raw.agg(F.count("*").alias("total_raw")).withColumn("_j", F.lit(1))
-    return k.join(r, "_j").drop("_j").withColumn("window_hours", F.lit(window_hours)) \
-            .withColumn("generated_at", as_of)
+    # counts per site and side first, so the final aggregate sees one small row per site
+    k = kept.groupBy("site_id").agg(F.count("*").alias("kept"), F.lit(0).cast("long").alias("raw"))
+    r = raw.groupBy("site_id").agg(F.lit(0).cast("long").alias("kept"), F.count("*").alias("raw"))
+    return k.unionByName(r).agg(
+        F.coalesce(F.sum("kept"), F.lit(0)).alias("total_items"), F.count_if(F.col("kept") > 0).alias("site_count"),
+        F.coalesce(F.sum("raw"), F.lit(0)).alias("total_raw")) \
+        .withColumn("window_hours", F.lit(window_hours)).withColumn("generated_at", as_of)
 
 
 def write_feed(kept: DataFrame, raw: DataFrame, as_of: Column, path: str, window_hours: int = 96) -> None:
