@@ -457,18 +457,17 @@ LIST_RULES = [ListRule("0", 3, "/", "", False, 40), ListRule("1", 2, "/[a-z]", "
               ListRule("2", 6, "e", "", True, 30)]
 
 
-@query("page_links", LINKS_SQL + r""", f AS (SELECT CAST(page_id % 3 AS VARCHAR) AS list_id, page_id,
-    concat(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1), href) AS href, label FROM l),
+@query("page_links", r"""WITH x AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a>') AS l FROM pages),
+a AS (SELECT page_id, url, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM x),
+f AS (SELECT CAST(page_id % 3 AS VARCHAR) AS list_id, page_id, i, concat(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1), regexp_extract(a, 'href="([^"]*)"', 1)) AS href,
+  trim(regexp_replace(regexp_replace(a, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS label FROM a),
 r AS (SELECT * FROM (VALUES ('0',3,'/','',40),('1',2,'/[a-z]','/(the|and)',25),('2',6,'e','',30)) AS r(list_id, m, p, dn, h)),
-k AS (SELECT list_id, label, href, min(page_id) AS page_id, any_value(h) AS h FROM f JOIN r USING (list_id)
-  WHERE length(label) >= m AND regexp_matches(href, p) AND NOT (dn <> '' AND regexp_matches(href, dn))
-  AND NOT (list_id = '2' AND contains(href, '#')) GROUP BY list_id, label, href)
-SELECT list_id, count(*) AS n, count(DISTINCT title) AS titles FROM (SELECT list_id, label AS title,
-  row_number() OVER (PARTITION BY list_id ORDER BY page_id) AS no, h FROM k) z WHERE no <= h GROUP BY list_id""")
+k AS (SELECT f.*, h, row_number() OVER (PARTITION BY list_id, label, href ORDER BY page_id, i) AS d FROM f JOIN r USING (list_id)
+  WHERE length(label) >= m AND regexp_matches(href, p) AND NOT (dn <> '' AND regexp_matches(href, dn)) AND NOT (list_id = '2' AND contains(href, '#')))
+SELECT list_id, page_id, CAST(no AS INT) AS no, title, url FROM (SELECT list_id, page_id, label AS title, href AS url, h, row_number() OVER (PARTITION BY list_id ORDER BY page_id, i) AS no FROM k WHERE d = 1) z WHERE no <= h""")
 def page_links(d):
     pages = d.table("pages").withColumn("list_id", (F.col("page_id") % 3).cast("string"))
-    return listing_links(pages, LIST_RULES).groupBy("list_id").agg(
-        F.count("*").alias("n"), F.countDistinct("title").alias("titles"))
+    return listing_links(pages, LIST_RULES).select("list_id", "page_id", "no", "title", "url")
 
 
 def unescape_sql(e: str) -> str:
