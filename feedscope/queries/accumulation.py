@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import titles as T
 from ..functions.times import local_minute_text
 from ..operators import dedup
-from ..plans import backfill, fixed_values as V, history as H, rules, score as scoring
+from ..plans import backfill, history as H
 from .base import AS_OF_SQL, query
 from .cleaning import KEY_SQL, SIM_NOISE
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import base as B, pages as P, text as X, times as TM, titles as T, urls as U
 from ..plans import fixed_values as V
 from ..sources.listing import ListRule, listing_links
-from .base import AS_OF_SQL, duck_sql, query, quoted  # noqa: F401
+from .base import AS_OF_SQL, query, quoted
 
 WS = r"[\s\x{a0}\x{3000}]"
 

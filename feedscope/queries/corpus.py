@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import notes as N, text as X
+from ..functions import text as X
 from ..functions.pages import article_text_fast
 from ..functions.times import local_minute_text
 from ..plans import corpus as C, fixed_values as V, rules

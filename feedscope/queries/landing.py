@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..plans import history as H
 from ..session import checkpoint_root
 from ..sources import payloads as P
 from ..streaming import ingest
