@@ -51,6 +51,8 @@ def sketches(column: pa.Array, bins: int = BINS, bits: int = BITS, shingle: int
     np.minimum.at(flat, at, C.mix(hashes) >> C.U64(1))
     sketch = flat.reshape(len(column), bins)
     _densify(sketch)
+    # each bin reads other bits, so that one value lent to many bins cannot agree with another in all of them by chance
+    sketch = C.mix(sketch + np.arange(1, bins + 1, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15))
     return (sketch & C.U64((1 << bits) - 1)).astype(np.uint8)
 
 

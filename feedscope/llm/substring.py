@@ -151,12 +151,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         .agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     keyed = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(spans, ["doc_id", "_row"], "left").select(*docs.columns, "_spans")
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def cut(batch: pa.RecordBatch):
         kept = [_cut(t, s, window)[0] if s else t
                 for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
-        columns = [batch.column(c) for c in docs.columns]
+        columns = [batch.column(c) for c in names]
         columns[at] = pa.array(kept, pa.string())
-        return pa.RecordBatch.from_arrays(columns, names=docs.columns)
-    return joined.mapInArrow(lambda batches: map(cut, batches), docs.schema)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+    return C.by_arrow(joined, cut, docs.schema)
