@@ -224,3 +224,15 @@ def library_encoder(model: str) -> ChunkEncoder:
 def doc_key() -> list:
     """Names a row by its id and its text, should an id occur twice."""
     return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_row")]
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, _row, text and the row itself as ``_all``, so that other columns may have any names."""
+    return docs.select(*doc_key(), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+
+
+def unfolded(rows: DataFrame, docs: DataFrame, text=None, **more) -> DataFrame:
+    """The columns of ``docs`` out of ``_all``, with another text and more columns, which take the place of their namesakes."""
+    own = [text.alias(c) if c == "text" and text is not None else F.col("_all").getField(c).alias(c)
+           for c in docs.columns if c not in more]
+    return rows.select(*own, *[v.alias(k) for k, v in more.items()])

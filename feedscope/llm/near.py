@@ -151,6 +151,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
     kept = near_duplicates(docs, **settings).where("kept").select("doc_id", "_row").distinct()
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit("")))).alias("x")
+    rows = C.whole_rows(docs).alias("x")
     same = F.col("x.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("x._row") == F.col("k._row"))
-    return keyed.join(kept.alias("k"), same, "left_semi").drop("_row")
+    return C.unfolded(rows.join(kept.alias("k"), same, "left_semi"), docs)

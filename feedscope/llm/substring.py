@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common as C
 
@@ -149,14 +150,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     """``docs`` with all their columns; a text that holds repeats becomes its kept words joined by one space."""
     spans = repeats(docs, window, seed).groupBy("doc_id", "_row") \
         .agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(spans, ["doc_id", "_row"], "left").select(*docs.columns, "_spans")
-    names, at = docs.columns, docs.columns.index("text")
+    joined = C.whole_rows(docs).join(spans, ["doc_id", "_row"], "left").select("text", "_all", "_spans")
 
     def cut(batch: pa.RecordBatch):
         kept = [_cut(t, s, window)[0] if s else t
                 for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
-        columns = [batch.column(c) for c in names]
-        columns[at] = pa.array(kept, pa.string())
-        return pa.RecordBatch.from_arrays(columns, names=names)
-    return C.by_arrow(joined, cut, docs.schema)
+        return pa.RecordBatch.from_arrays([batch.column("_all"), pa.array(kept, pa.string())], names=["_all", "kept"])
+    schema = StructType([joined.schema["_all"], StructField("kept", StringType())])
+    return C.unfolded(C.by_arrow(joined, cut, schema), docs, F.col("kept"))
