@@ -102,6 +102,78 @@ class Bpe:
                 tree.set(h, pairs.get((symbols[h], symbols[i]), NONE))
         return [s for s in symbols if s]
 
+    def prepare_batches(self) -> None:
+        """Sorted pairs of ids with their ranks, and the id each rank merges to."""
+        rows = sorted((self.vocab[a] << 32 | self.vocab[b], rank, self.vocab[a + b]) for (a, b), rank in self.pairs.items())
+        self.pair_keys, self.pair_ranks = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        self.merged = np.zeros(len(rows), np.int64)
+        self.merged[self.pair_ranks] = [r[2] for r in rows]
+        self.first_ids = np.array([[self.vocab[self.letters[b] + e] for b in range(256)] for e in ("", self.end)])
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], NONE)
+
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each are one word of the vocabulary's rules: a tree a row, all rows a merge at a time."""
+        raw = [w.encode() for w in words]
+        size = np.array([len(r) for r in raw])
+        width_of = np.array([1 << max(1, int(n - 1).bit_length()) for n in size])
+        out: list[bytes] = [b""] * len(words)
+        for width in np.unique(width_of).tolist():
+            rows = np.flatnonzero(width_of == width)
+            for i, ids in zip(rows.tolist(), self._merge_rows([raw[i] for i in rows.tolist()], size[rows], width)):
+                out[i] = ids
+        return out
+
+    def _merge_rows(self, raw: list[bytes], size: np.ndarray, width: int) -> list[bytes]:
+        n, row_at = len(raw), np.arange(len(raw))
+        filled = np.arange(width)[None, :] < size[:, None]
+        symbols = np.full((n, width + 1), -1)
+        symbols[:, :width][filled] = self.first_ids[0][np.frombuffer(b"".join(raw), np.uint8)]
+        symbols[row_at, size - 1] = self.first_ids[1][[r[-1] for r in raw]]
+        tree = np.full((n, 2 * width), NONE)
+        ranks = self._ranks(symbols[:, :width], symbols[:, 1:])
+        tree[:, width:] = np.where(ranks < NONE, ranks * width + np.arange(width), NONE)
+        for i in range(width - 1, 0, -1):
+            tree[:, i] = np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1])
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        after[row_at, size - 1] = width
+        before = np.tile(np.arange(-1, width), (n, 1))
+        tree_, symbols_, after_, before_ = tree.ravel(), symbols.ravel(), after.ravel(), before.ravel()
+        rows = row_at
+        while True:
+            root = tree_[rows * 2 * width + 1]
+            alive = root < NONE
+            rows, root = rows[alive], root[alive]
+            if not len(rows):
+                break
+            at, leaf = rows * (width + 1), rows * 2 * width
+            i = root % width
+            j = after_[at + i]
+            k = after_[at + j]
+            now = self.merged[root // width]
+            symbols_[at + i] = now
+            symbols_[at + j] = -1
+            after_[at + i] = k
+            before_[at + k] = i
+            h = np.maximum(before_[at + i], 0)
+            first = before_[at + i] < 0
+            tree_[leaf + width + j] = NONE
+            rank = self._ranks(now, symbols_[at + k])
+            tree_[leaf + width + i] = np.where(rank < NONE, rank * width + i, NONE)
+            rank = self._ranks(np.where(first, -1, symbols_[at + h]), now)
+            keep = tree_[leaf + width + h]
+            tree_[leaf + width + h] = np.where(first, keep, np.where(rank < NONE, rank * width + h, NONE))
+            nodes = [h + width, i + width, j + width]
+            for _ in range(width.bit_length() - 1):
+                nodes = [x >> 1 for x in nodes]
+                for x in nodes:
+                    tree_[leaf + x] = np.minimum(tree_[leaf + 2 * x], tree_[leaf + 2 * x + 1])
+        left = symbols[:, :width] >= 0
+        return C.cut_ids(symbols[:, :width][left], left.sum(1))
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text; strings of special tokens count as those."""
         out: list[int] = []
@@ -131,7 +203,9 @@ def worker(content: str) -> tuple[Bpe, C.ChunkEncoder]:
     if key not in _known:
         bpe = Bpe(content)
         _known.clear()
-        _known[key] = bpe, C.ChunkEncoder(lambda words: [np.array(bpe.encode(w), "<u4").tobytes() for w in words])
+        bpe.prepare_batches()
+        _known[key] = bpe, C.ChunkEncoder(lambda words: [np.array(bpe.encode(w), "<u4").tobytes() for w in words],
+                                          bpe.encode_letters)
     return _known[key]
 
 

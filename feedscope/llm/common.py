@@ -167,15 +167,18 @@ class ChunkEncoder:
 
     The vocabulary's rules drop white space and never let a token cross it, so a text's ids are those of its
     chunks in order.  A chunk is encoded once while it stays in the table of at most ``most`` chunks; the table only
-    saves time.  Chunks of letters with closing signs share the entry of their lower-case letters.
+    saves time.  Chunks of letters with closing signs share the entry of their lower-case letters; ``encode_letters``
+    gets such words, ``encode_many`` any chunks.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 400_000):
-        self.encode_many, self.most, self.known = encode_many, most, {}
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]],
+                 encode_letters: Callable[[list[str]], list[bytes]] | None = None, most: int = 400_000):
+        self.encode_many, self.encode_letters = encode_many, encode_letters or encode_many
+        self.most, self.known = most, {"": b""}
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known = {"": b""}
         known, split, new = self.known, [], set()
         for t in batch:
             words = t.split() if not _ODD_SPACES.search(t) else re.split(r"[ \n]+", t)
@@ -186,20 +189,33 @@ class ChunkEncoder:
         return [b"".join(map(get, words)) for words in split]
 
     def _learn(self, new: set[str]) -> None:
-        known, parts, base = self.known, {}, set()
+        known, parts, letters, other = self.known, [], set(), set()
         for w in new:
             m = _PLAIN.fullmatch(w)
-            parts[w] = p = (m[1].lower(), m[2]) if m else (w, "")
-            base.update(p)
-        base = [w for w in base if w and w not in known]
-        known[""] = b""
-        for i in range(0, len(base), 4096):
-            some = base[i:i + 4096]
-            known.update(zip(some, self.encode_many(some)))
-        for w, (a, b) in parts.items():
+            if m:
+                a, b = m.groups()
+                a = a.lower()
+                parts.append((w, a, b))
+                letters.add(a)
+                if b:
+                    other.add(b)
+            else:
+                other.add(w)
+        for words, encode in ((letters, self.encode_letters), (other, self.encode_many)):
+            words = [w for w in words if w not in known]
+            for i in range(0, len(words), 4096):
+                some = words[i:i + 4096]
+                known.update(zip(some, encode(some)))
+        for w, a, b in parts:
             known[w] = known[a] + known[b] if b else known[a]
 
 
+def cut_ids(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Consecutive runs of ids as little-endian unsigned 32-bit bytes."""
+    data, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 _encoders: dict = {}
 
 
@@ -216,8 +232,19 @@ def library_encoder(model: str) -> ChunkEncoder:
 
         def many(words: list[str]) -> list[bytes]:
             return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+        vocab, end = tok.get_vocab(), getattr(tok.model, "end_of_word_suffix", None)
+        closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        closes[[i for t, i in vocab.items() if end and t.endswith(end)]] = True
+
+        def letters(words: list[str]) -> list[bytes]:
+            """Words of letters in one text: each ends with its only token that closes a word."""
+            ids = np.array(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(closes[ids]) + 1
+            if len(ends) != len(words) or ends[-1] != len(ids):
+                return many(words)
+            return cut_ids(ids, np.diff(ends, prepend=0))
         _encoders.clear()
-        _encoders[key] = ChunkEncoder(many)
+        _encoders[key] = ChunkEncoder(many, letters)
     return _encoders[key]
 
 
