@@ -244,7 +244,7 @@ def test_lines_equal_brute_force(spark, docs_of):
     distinct = sorted({plain(x) for _, t in rows for x in t.split("\n")} - {""})
     frame = spark.createDataFrame([(x,) for x in distinct], "line string")
     from pyspark.sql import functions as F
-    sim = {r.line: r.s & (1 << 64) - 1 for r in frame.select("line", lines.simhash(F.col("line")).alias("s")).collect()}
+    sim = {r.line: r.sketch & (1 << 64) - 1 for r in lines.simhashes(frame, "line").collect()}
     hashes = {r.w: r.h & (1 << 64) - 1 for r in frame.select(F.explode(F.split("line", " ")).alias("w")).distinct()
               .select("w", F.xxhash64("w").alias("h")).collect()}
     for x in distinct:
