@@ -73,7 +73,7 @@ def anchors(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
     href = r"""(?is)^<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
     target = F.concat(*[F.regexp_extract("_a", href, i) for i in (1, 2, 3)])
     return links.select(
-        *keep, (F.col("_block_no") * 1000000 + F.col("_no")).alias("link_no"),
+        *keep, (F.col("_block_no").cast("long") * 1000000 + F.col("_no")).alias("link_no"),
         F.trim(unescape(target)).alias("href"),
         unescape(strip_html(F.regexp_replace("_a", "(?is)<(script|style)[^>]*>.*?</", "</"))).alias("label"), "day")
 

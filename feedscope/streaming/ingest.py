@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,32 +30,42 @@ def snapshot_counts(events: DataFrame, ts: str = "ts", site: str = "site_id", la
 
 
 class HistoryTable:
-    """Append-only history: one folder per micro-batch holding only rows with new keys.
+    """Append-only history: one folder per stream and micro-batch holding only rows with new keys.
 
-    A batch that runs again overwrites its own folder and never looks at later ones,
-    so a restart changes nothing.  Retention is a filter of the reader; derived fields
+    A batch that runs again overwrites its own folder and never looks at later ones of its stream,
+    so a restart changes nothing.  A stream with another checkpoint counts its batches from 0 again
+    and has folders of its own, so it adds to what others stored.  Retention is a filter of the reader; derived fields
     are recomputed on reading, so stored rows are never rewritten.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _stored(self) -> DataFrame | None:
+        try:
+            return self.spark.read.option("basePath", self.root).parquet(self.root)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
     def append(self, batch: DataFrame, batch_id: int, order: list[Column], as_of: Column | None = None,
-               days: int = V.RETENTION_DAYS) -> None:
-        """Add a micro-batch.  With ``as_of``, stored rows that have aged out no longer count as known."""
+               days: int = V.RETENTION_DAYS, stream: str = "") -> None:
+        """Add a micro-batch of a stream.  With ``as_of``, stored rows that have aged out no longer count as known."""
+        name = f"s-{stream}"
         keyed = batch.withColumn("_key", H.merge_key()).where(F.col("_key").isNotNull())
         fresh = first_per_key(keyed, ["_key"], order)
-        if batch_id > 0:
-            known = self.spark.read.option("basePath", self.root).parquet(self.root) \
-                        .where(F.col("batch") < batch_id)
+        known = self._stored()
+        if known is not None:
+            known = known.where((F.col("stream") != name) | (F.col("batch") < batch_id))
             if as_of is not None:
                 known = H.retained(known, as_of, days)
             # keys are unique on both sides, so this shuffles evenly and reads one column (two with ``as_of``)
             fresh = fresh.join(known.select("_key").distinct(), "_key", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{self.root}/stream={name}/batch={batch_id}")
 
     def read(self, as_of: Column, days: int) -> DataFrame:
-        rows = self.spark.read.option("basePath", self.root).parquet(self.root).drop("_key", "batch")
+        rows = self.spark.read.option("basePath", self.root).parquet(self.root).drop("_key", "stream", "batch")
         return H.retained(rows, as_of, days)
 
 
@@ -62,6 +73,8 @@ def accumulate(stream: DataFrame, table: HistoryTable, checkpoint: str, order: l
                prepare=lambda batch: batch, as_of: Column | None = None) -> StreamingQuery:
     """Clean, score and append every micro-batch, then stop when the landed files are used up."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.append(prepare(batch), batch_id, order, as_of)
+        # Spark keeps this id in the checkpoint: equal after a restart, new with a new checkpoint
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        table.append(prepare(batch), batch_id, order, as_of, stream=stream_id)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
                  .trigger(availableNow=True).start()

@@ -128,11 +128,37 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     ingest.accumulate(stream, table, str(tmp_path / "cp"), [F.col("id")]).awaitTermination()
     keys = sorted(r["title"] for r in table.read(as_of(), 62).collect())
     assert keys == sorted({f"T{i % 90}" for i in range(200)})
-    assert len(list((tmp_path / "table").glob("batch=*"))) == 4
-    table.append(rows.where("id >= 50 AND id < 100"), 1, [F.col("id")])
+    folders = list((tmp_path / "table").glob("stream=*/batch=*"))
+    assert len(folders) == 4
+    name = folders[0].parent.name.removeprefix("stream=s-")
+    table.append(rows.where("id >= 50 AND id < 100"), 1, [F.col("id")], stream=name)
     assert sorted(r["title"] for r in table.read(as_of(), 62).collect()) == keys
 
 
+def test_a_new_checkpoint_keeps_what_is_stored(spark, tmp_path):
+    table = ingest.HistoryTable(spark, str(tmp_path / "table"))
+    for name, ids in (("a", (1, 2)), ("b", (2, 3))):
+        rows = spark.createDataFrame([(i, f"T{i}", "u") for i in ids], "id int, title string, url string") \
+                    .withColumn("published_at", F.lit(None).cast("timestamp"))
+        rows.coalesce(1).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / name))
+        ingest.accumulate(stream, table, str(tmp_path / f"cp-{name}"), [F.col("id")]).awaitTermination()
+    assert sorted(r["id"] for r in table.read(as_of(), 62).collect()) == [1, 2, 3]
+
+
+def test_history_may_start_with_a_later_batch(spark, tmp_path):
+    row = spark.createDataFrame([(1, "A title", "u")], "id int, title string, url string").withColumn("published_at", as_of())
+    table = ingest.HistoryTable(spark, str(tmp_path / "t"))
+    table.append(row, 3, [F.col("id")])
+    assert [r["id"] for r in table.read(as_of(), 62).collect()] == [1]
+
+
+def test_link_numbers_of_large_pages(spark):
+    html = "".join(f"<a href='/{i}'>l</a>" for i in range(2300))
+    rows = P.anchors(spark.createDataFrame([(html,)], "html string")).agg(F.max("link_no"), F.count("*")).first()
+    assert tuple(rows) == (2299 * 1000000, 2300)
+
+
 def test_time_parsing(spark):
     cases = {"2024-01-02T03:04:05+08:00": "2024-01-01T19:04:05", "2024-01-02 03:04": "2024-01-02T03:04:00", "Tue, 2 Jan 2024 03:04:05 +0000": "2024-01-02T03:04:05",
              "2024-13-01": None, "soon": None, "": None, "2024/1/2": "2024-01-02T00:00:00"}
