@@ -9,36 +9,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import table
 
 
+def _apart(links: DataFrame) -> int:
+    """Nodes that keep distinct links (u, v) from being stars around their smallest ids: with two parents, or parent and child."""
+    roles = links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("child")),
+                                           F.struct(F.col("v").alias("id"), F.lit(0).alias("child")))).alias("r"))
+    per = roles.groupBy("r.id").agg(F.sum("r.child").alias("parents"), F.min("r.child").alias("least"))
+    return per.where("parents > 1 or (parents = 1 and least = 0)").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) of every node of the edges (a, b).
 
-    Alternates two star steps until nothing changes: each node hands its greater neighbours, then its smaller ones, to the
-    smallest of its neighbourhood.  Minima are aggregated before the shuffle and joined back, so a node with very many
-    links is never gathered.  Only a count and a checksum per round reach the driver.
+    Alternates two star steps until only stars are left: each node hands its greater neighbours, then its smaller ones, to
+    the smallest of its neighbourhood.  Minima are aggregated before the shuffle and joined back, so a node with very many
+    links is never gathered.  Only one count per round reaches the driver.
     """
     links = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-                    .where("u <> v").distinct()
-        large = table(large)
+    while _apart(links):
+        least = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), "v")) \
+                     .groupBy("u").agg(F.min("v").alias("m"))
+        large = table(links.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")) \
-                     .where("u <> v").distinct()
-        links = table(small)
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
+        links = table(large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+                      .where("u <> v").distinct())
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")) \
                 .unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def block_links(members: DataFrame, near: Callable[[Column, Column], Column],
-                verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (a, b), a < b, that connect all rows which verified links inside blocks connect.
+def block_groups(members: DataFrame, near: Callable[[Column, Column], Column],
+                 verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id, component of all rows that verified links inside blocks connect.
 
     ``members``: key, id, sketch.  ``near`` compares two sketches cheaply; ``verify`` keeps the true links of pairs (a, b).
 
@@ -50,14 +50,13 @@ def block_links(members: DataFrame, near: Callable[[Column, Column], Column],
     sizes = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
     shared = table(members.join(sizes, "key"))
     weight = shared.groupBy("id").agg(F.sum("_n").alias("_w"))
-    centres = shared.join(weight, "id").groupBy("key").agg(
+    centres = table(shared.join(weight, "id").groupBy("key").agg(
         F.min_by(F.struct(F.col("id").alias("c"), F.col("sketch").alias("s")), F.struct(-F.col("_w"), F.col("id")))
-        .alias("_c")).select("key", "_c.c", "_c.s")
+        .alias("_c")).select("key", "_c.c", "_c.s"))
     pairs = shared.join(centres, "key").where((F.col("id") != F.col("c")) & near(F.col("sketch"), F.col("s"))) \
                   .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
     pairs = table(pairs)
-    found = table(verify(pairs))
-    groups = components(found)
+    groups = components(verify(pairs))
     tagged = shared.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component", "_n")
     centre_group = centres.select("key", F.col("c").alias("id")).join(groups, "id", "left") \
                           .select("key", F.coalesce("component", "id").alias("_g"))
@@ -65,7 +64,9 @@ def block_links(members: DataFrame, near: Callable[[Column, Column], Column],
     apart = tagged.where(F.col("group") != F.col("_g")) \
                   .select("key", F.col("id").alias("i"), F.col("sketch").alias("si"), F.col("group").alias("gi"))
     others = tagged.join(apart.select("key").distinct(), "key", "left_semi")
-    more = others.join(apart, "key").where((F.col("group") != F.col("gi")) & near(F.col("sketch"), F.col("si"))) \
-                 .select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct() \
-                 .join(pairs, ["a", "b"], "left_anti")
-    return found.unionByName(table(verify(table(more))))
+    more = table(others.join(apart, "key").where((F.col("group") != F.col("gi")) & near(F.col("sketch"), F.col("si")))
+                 .select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
+                 .join(pairs, ["a", "b"], "left_anti"))
+    if not more.agg(F.count("*")).first()[0]:
+        return groups
+    return components(verify(more).unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b"))))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
-from .links import block_links, components
+from .links import block_groups
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -135,9 +135,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     reps = C.table(marks.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "_row", "keys", "sketch"), order).alias("r"))
                    .select("d1", "d2", "r.*").withColumn("id", F.monotonically_increasing_id()))
     members = reps.select(F.explode("keys").alias("key"), "id", "sketch")
-    verified = block_links(members, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= SKETCH_BITS,
-                           verifier(docs.where("doc_id is not null"), reps, shingle, threshold))
-    groups = components(verified)
+    groups = block_groups(members, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= SKETCH_BITS,
+                          verifier(docs.where("doc_id is not null"), reps, shingle, threshold))
     named = C.table(reps.select("d1", "d2", "id", "doc_id", "_row").join(groups, "id", "left")
                     .withColumn("component", F.coalesce("component", "id")))
     heads = named.groupBy("component").agg(F.min_by(F.struct(F.col("doc_id").alias("class_id"), F.col("_row").alias("_head")),
