@@ -24,9 +24,10 @@ ENTITIES = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "
 
 
 @built_once
-def title_key(title: Column | str) -> Column:
-    """Lower case, no spaces or punctuation, 120 characters."""
-    return F.substring(F.regexp_replace(F.lower(text_or_empty(title)), KEY_NOISE, ""), 1, 120)
+def title_key(title: Column | str, most_chars: int | None = None) -> Column:
+    """Lower case, no spaces or punctuation; the first ``most_chars`` characters of that where a number is given."""
+    key = F.regexp_replace(F.lower(text_or_empty(title)), KEY_NOISE, "")
+    return F.substring(key, 1, most_chars) if most_chars else key
 
 
 @built_once

@@ -11,11 +11,6 @@ SALTS = 64
 MAX_HOT_KEYS = 1_000
 
 
-def is_small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> bool:
-    """Reads partitions step by step and stops after ``most`` + 1 rows."""
-    return len(df.select(F.lit(1)).take(most + 1)) <= most
-
-
 def hot_keys(rows: DataFrame, keys: list[str], fraction: float = 0.01, least: int = 1_000) -> list[tuple]:
     """At most ``MAX_HOT_KEYS`` frequent keys, from a sample.
 
@@ -31,18 +26,19 @@ def _is_hot(keys: list[str], hot: list[tuple]) -> Column:
         return F.lit(False)
     if len(keys) == 1:
         return F.coalesce(F.col(keys[0]).isin([h[0] for h in hot]), F.lit(False))
-    marks = [reduce(lambda a, b: a & b, [F.col(k) == v for k, v in zip(keys, h)]) for h in hot]
-    return F.coalesce(reduce(lambda a, b: a | b, marks), F.lit(False))
+    marks = [F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, h)]) for h in hot]
+    return F.coalesce(F.array_contains(F.array(*marks), F.struct(*keys)), F.lit(False))
 
 
 def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left",
-                salts: int = SALTS, hot: list[tuple] | None = None) -> DataFrame:
-    """Shuffle join in one pass: rows of hot keys and of NULL keys spread over ``salts`` tasks.
+                hot: list[tuple] = (), salts: int = SALTS) -> DataFrame:
+    """Shuffle join in one pass: rows of the given hot keys and of NULL keys spread over ``salts`` tasks.
+
+    For callers who know their hot keys (``hot_keys`` samples them); else ``lookup_join`` leaves skew to AQE.
 
     Only the facts of hot keys are repeated, so the few side grows by at most
     ``MAX_HOT_KEYS`` * ``salts`` rows.
     """
-    hot = hot_keys(rows, keys) if hot is None else hot
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     content = [f.name for f in rows.schema if isinstance(f.dataType, D.AtomicType)]
     spread = F.pmod(F.xxhash64(*content, F.spark_partition_id()), F.lit(salts)).cast("int")
@@ -53,14 +49,14 @@ def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "
 
 
 def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left",
-                most: int = MAX_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Join to a side table with one row per key: broadcast when its size allows, else salted.
+                known_rows: int | None = None) -> DataFrame:
+    """Join to a side table with one row per key.
 
-    ``known_rows`` saves the count where the caller made the table itself.
+    Spark picks the strategy from bytes, AQE again at run time, and AQE splits skewed keys.  A hint to broadcast is given
+    only where the caller has made the table itself and states its rows (at most ``MAX_BROADCAST_ROWS``).
     """
-    if known_rows <= most if known_rows is not None else is_small(facts, most):
-        return rows.join(F.broadcast(facts), keys, how)
-    return salted_join(rows, facts, keys, how)
+    small = known_rows is not None and known_rows <= MAX_BROADCAST_ROWS
+    return rows.join(F.broadcast(facts) if small else facts, keys, how)
 
 
 def spread_if_narrow(df: DataFrame) -> DataFrame:

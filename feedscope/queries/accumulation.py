@@ -39,7 +39,7 @@ def longest_by_url(d):
     return dedup.longest_by_url(d.items(), modified="published_at").select("id")
 
 
-NOTE_NAMES = """SELECT id, CASE WHEN id % 3 = 0 THEN concat('2024-01-0', CAST(id % 9 + 1 AS VARCHAR(1)), ' ', substring(title, 1, 12)) ELSE substring(title, 1, 12) END AS file_name,
+NOTE_NAMES = """SELECT id, CASE WHEN id % 3 = 0 THEN concat('2024-01-0', CAST(id % 9 + 1 AS VARCHAR(1)), ' ', title) ELSE title END AS file_name,
   CASE WHEN id % 4 = 0 THEN NULL WHEN id % 2 = 0 THEN 'https://one.example.org' ELSE url END AS url, summary FROM """
 COPIES_CTE = f"""WITH n AS (SELECT *, regexp_matches(file_name, '^\\d{{4}}-\\d{{2}}-\\d{{2}} ') AS dated, regexp_replace(file_name, '^\\d{{4}}-\\d{{2}}-\\d{{2}} ', '') AS name FROM ({NOTE_NAMES} articles) q),
 g AS (SELECT name, count(*) FILTER (dated) AS w, count(*) FILTER (NOT dated) AS p, count(DISTINCT coalesce(url,'?')) AS u,
@@ -62,11 +62,11 @@ def distinct_pairs(d):
     return d.articles().select("title", "url").dropDuplicates(["title", "url"])
 
 
-@query("repeated_keys", """WITH l AS (SELECT conv_id, turn, concat(CASE WHEN role = 'user' THEN 'author: ' ELSE 'text: ' END, substring(text, 1, 20)) AS line FROM conversations),
+@query("repeated_keys", """WITH l AS (SELECT conv_id, turn, concat(CASE WHEN role = 'user' THEN 'author: ' ELSE 'text: ' END, text) AS line FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, starts_with(line, 'author:') ORDER BY turn) AS n FROM l)
 SELECT conv_id, turn, line FROM r WHERE n = 1 OR NOT starts_with(line, 'author:')""")
 def repeated_keys(d):
-    line = F.concat(F.when(F.col("role") == "user", "author: ").otherwise("text: "), F.substring("text", 1, 20))
+    line = F.concat(F.when(F.col("role") == "user", "author: ").otherwise("text: "), "text")
     lines = d.table("conversations").select("conv_id", "turn", line.alias("line"))
     return dedup.first_of_repeated_keys(lines, "conv_id", "turn", "line", "author")
 

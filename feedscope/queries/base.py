@@ -37,11 +37,11 @@ BASE_SQL = {
 SELECT doc_id AS id,
        split_part('{",".join(SITE_IDS)}', ',', CAST(doc_id % {len(SITE_IDS)} + 1 AS INT)) AS site_id,
        concat(split_part('{"|".join(PHRASES)}', '|', CAST(doc_id % {len(PHRASES)} + 1 AS INT)), ' ',
-              substring(split_part(substring(text, 1, 200), chr(10), 1), 1, 100)) AS title,
+              split_part(text, chr(10), 1)) AS title,
        CASE WHEN doc_id % 9 = 0 THEN '' ELSE
          concat(CASE WHEN doc_id % 6 = 0 THEN
                   concat(split_part('{"|".join(PHRASES)}', '|', CAST(doc_id % 37 + 1 AS INT)), ' ') ELSE '' END,
-                substring(text, 1, 240)) END AS summary,
+                text) END AS summary,
        concat('https://', source, '.example.org/', CAST(CAST(floor(doc_id / 40) AS BIGINT) AS VARCHAR(20)),
               CASE WHEN doc_id % 3 = 0 THEN '/' ELSE '' END) AS url,
        CASE WHEN doc_id % 11 = 0 THEN NULL
@@ -51,8 +51,8 @@ SELECT doc_id AS id,
 FROM {{documents}}""",
     # the documents as they are: first line as title, source as site
     "articles": """
-SELECT doc_id AS id, source AS site_id, substring(split_part(substring(text, 1, 200), chr(10), 1), 1, 120) AS title,
-       substring(text, 1, 260) AS summary,
+SELECT doc_id AS id, source AS site_id, split_part(text, chr(10), 1) AS title,
+       text AS summary,
        concat('https://', source, '.example.org/', CAST(CAST(floor(doc_id / 40) AS BIGINT) AS VARCHAR(20)),
               '?ref=', lang) AS url,
        CASE WHEN doc_id % 11 = 0 THEN NULL

@@ -45,7 +45,7 @@ def item_ids(d):
     return d.articles().select("id", U.item_id("site_id", "title", "url").alias("item_id"))
 
 
-KEY_SQL = r"""substring(regexp_replace(lower(title), '[\s\x{a0}\x{3000}\-_—–()（）【】\[\]「」『』・,，.。:：;；/\\|]', '', 'g'), 1, 120)"""
+KEY_SQL = r"""regexp_replace(lower(title), '[\s\x{a0}\x{3000}\-_—–()（）【】\[\]「」『』・,，.。:：;；/\\|]', '', 'g')"""
 
 
 @query("title_keys", f"SELECT id, {KEY_SQL} AS title_key FROM items")

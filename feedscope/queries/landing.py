@@ -119,14 +119,14 @@ def _stream(d, name):
     return d.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d.folder)
 
 
-@query("stream_history", f"""WITH k AS (SELECT id, {KEY_SQL} AS key, published_at AS t FROM (SELECT doc_id AS id, substring(split_part(text, chr(10), 1), 1, 120) AS title,
+@query("stream_history", f"""WITH k AS (SELECT id, {KEY_SQL} AS key, published_at AS t FROM (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title,
   CASE WHEN doc_id % 11 = 0 THEN NULL ELSE {AS_OF_SQL} - INTERVAL 1 MINUTE * (doc_id % 20000 * 113) END AS published_at FROM documents) q),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS n FROM k WHERE key <> '') z WHERE n = 1)
 SELECT id FROM f WHERE t IS NULL OR t >= {AS_OF_SQL} - INTERVAL 62 DAY""")
 def stream_history(d):
     """Documents as a stream, accumulated batch by batch; the table is then read."""
     docs = _stream(d, "documents")
-    items = docs.select(F.col("doc_id").alias("id"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("title"),
+    items = docs.select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
                         F.lit(None).cast("string").alias("url"),
                         F.when(F.col("doc_id") % 11 != 0, d.as_of - F.make_interval(mins=(F.col("doc_id") % 20000 * 113).cast("int"))).alias("published_at"))
     root = _run_folder(d, "history")

@@ -31,11 +31,27 @@ def test_salted_join_is_whole(spark):
         assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-def test_lookup_join_both_ways(spark):
+def test_lookup_join_goes_by_bytes(spark):
+    """No job while the plan is built and no hint for facts of unknown size."""
     rows, facts = skewed(spark), spark.range(50).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("v"))
-    small, large = joins.lookup_join(rows, facts, ["key"]), joins.lookup_join(rows, facts, ["key"], most=10)
-    assert "BroadcastHashJoin" in plan(small)
-    assert sorted(small.collect(), key=repr) == sorted(large.select(*small.columns).collect(), key=repr)
+    free, stated = joins.lookup_join(rows, facts, ["key"]), joins.lookup_join(rows, facts, ["key"], known_rows=50)
+    assert "BroadcastHashJoin" in plan(stated)
+    assert sorted(free.collect(), key=repr) == sorted(stated.select(*free.columns).collect(), key=repr)
+    spark.sparkContext.setJobGroup("planning", "")
+    joined = joins.lookup_join(rows, facts.groupBy("key").agg(F.max("v").alias("v")), ["key"])
+    assert "Hint" not in joined._jdf.queryExecution().logical().toString()
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning"))
+
+
+def test_hot_lists_of_many_keys(spark):
+    rows = spark.range(100).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    hot = [(i, i) for i in range(1000)]
+    assert joins.salted_join(rows, rows.withColumn("v", F.lit(1)), ["a", "b"], "inner", hot=hot, salts=2).count() == 100
+
+
+def test_long_titles_keep_their_own_keys(spark):
+    rows = spark.createDataFrame([(1, "a" * 130 + "b"), (2, "a" * 130 + "c"), (3, "a" * 130 + "B")], "id int, title string")
+    assert sorted(r["id"] for r in dedup.by_title(rows, [F.col("id")], id_col="id").collect()) == [1, 2]
 
 
 def test_global_rank_matches_window(spark):
