@@ -269,6 +269,37 @@ def test_lines_equal_brute_force(spark, docs_of):
     assert got.columns == [*docs_of(rows).columns, "n_lines", "n_dropped"]
 
 
+def test_lines_linked_by_edit_similarity_alone(docs_of):
+    rng = random.Random(21)
+    letters = "abcdefghij"
+
+    def changed(line, edits):
+        line = list(line)
+        for _ in range(edits):
+            at = rng.randrange(1, len(line) - 1)
+            line[at:at + rng.choice((0, 1, 1))] = rng.choice(letters)
+        return "".join(line)
+    groups = []
+    for n in [9, 10, 12, 19, 20, 21, 24, 33, 45, 47, 60, 75, 90, 98, 109, 112, 143, 180, 199, 204, 240] * 3:
+        line = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))[:n - 1] + "k"
+        groups.append([plain(line), plain(changed(line, 1)), plain(changed(line, n // 10))])
+    han = "".join(chr(0x4e00 + rng.randrange(3000)) for _ in range(80))
+    groups.append([han, han[:40] + "一" + han[41:]])
+    rows, want, short = [], set(), set()
+    for g in groups:
+        g = list(dict.fromkeys(g))
+        ids = range(len(rows), len(rows) + len(g))
+        links = [(i, j) for i in ids for j in ids if i < j and
+                 edit_distance(g[i - ids[0]], g[j - ids[0]]) * 10 <= max(len(g[i - ids[0]]), len(g[j - ids[0]]))]
+        want |= set(groups_of(ids, links).values())
+        short |= {i for i in ids if len(g[i - ids[0]]) <= 46}
+        rows += [(i, x) for i, x in zip(ids, g)]
+    got = lines.drop_lines(docs_of(rows), runs=True)
+    kept = {r.doc_id for r in got.where("n_dropped = 0").collect()}
+    assert want <= kept and kept & short == want & short
+    assert len(rows) - len(want) > 80 and len(kept - want) <= 0.02 * (len(rows) - len(want))
+
+
 def test_lines_of_odd_rows(docs_of):
     got = lines.drop_lines(docs_of(odd_rows())).collect()
     assert len(got) == len(odd_rows())
