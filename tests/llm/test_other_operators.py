@@ -194,6 +194,23 @@ def test_article_text():
     assert webtext.blocks("<article></article><p>out</p>") == (["out"], False)
 
 
+def test_article_text_is_not_lost_by_markup():
+    def text(page):
+        return webtext.blocks(page)[0]
+    assert text("<article><p class=ad>Buy<p>One<p hidden>Hid<p>Two</article>") == ["One", "Two"]
+    assert text("<article><p class='ad'>Buy<div>One</div><p>Two</article>") == ["One", "Two"]
+    assert text("<article><ul><li class='share'>Share<li>One<ul><li>a<li hidden>b</ul><li>Two</ul>Three</article>") == \
+        ["One", "a", "Two", "Three"]
+    assert text("<article><dl><dt hidden>x<dd>One<dt>Two</dl><table><tr hidden><td>y<tr><td class=ad>z<td>Three</table></article>") \
+        == ["One", "Two", "Three"]
+    for name in ("post has-sidebar", "social-policy", "notice-of-court", "comments", "post no-comments"):
+        assert text(f"<div id='page' class='no-comments'><article class='{name}'><p>One</p></article></div>") == ["One"]
+    assert text("<div class='page paywall'><main><p>One</p><div class=ad>Buy</div></main></div>") == ["One"]
+    assert text("<article>One</article><div class=related><article>Other</article></div>") == ["One"]
+    assert text("<article>One<article class=comment>Reader</article></article>") == ["One"]
+    assert text("<nav><article>Menu</article></nav><p>One</p>") == ["One"]
+
+
 def test_host_boilerplate(spark):
     bar = "one two three four five six seven eight nine ten"
     schema = "page_id long, url string, html string, host string, blocks string"
