@@ -34,8 +34,13 @@ for _i, _codes in enumerate(CLASSES.values()):
     _CLASS[list(_codes)] = _i
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the columns NAMES (doubles) of every text.  A text without words (null, empty) has zeros only."""
+def statistics(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id and the columns NAMES (doubles) of every text.  A text without words (null, empty) has zeros only.
+
+    ``row``: with _row, the text's hash, after doc_id.
+    """
+    named = ["doc_id", "_row"] if row else ["doc_id"]
+
     def run(batch: pa.RecordBatch):
         for part in C.slices(batch):
             w, n, k = C.Words(part.column("text"), lower=True), part.num_rows, len(CLASSES)
@@ -58,8 +63,9 @@ def statistics(docs: DataFrame) -> DataFrame:
             columns = [*share.T, np.log1p(words), np.bincount(doc, length, n) / per, rate(length <= 3), rate(length >= 12),
                        fresh, rate(has == 0), words / lines, rate((has > 1) & (upper[w.ends] - upper[w.starts] == has))]
             columns = [np.where(words > 0, c, 0.0).astype(np.float64) for c in columns]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names=["doc_id", *NAMES])
-    return C.by_arrow(docs.select("doc_id", "text"), run, "doc_id long, " + ", ".join(f"{c} double" for c in NAMES))
+            yield pa.RecordBatch.from_arrays([*map(part.column, named), *map(pa.array, columns)], names=[*named, *NAMES])
+    return C.by_arrow(docs.select(*C.doc_key()[:len(named)], "text"), run,
+                      ", ".join([f"{c} long" for c in named] + [f"{c} double" for c in NAMES]))
 
 
 @dataclass(frozen=True)
@@ -154,9 +160,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text is predicted good, with all their columns."""
-    stats = C.table(statistics(docs))
+    """The rows of ``docs`` whose text is predicted good, with all their columns; each row goes by its own text."""
+    stats = C.table(statistics(docs, row=True))
     known = labels.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    model = fit(stats.join(known, "doc_id"))
-    bad = stats.where(model.score() < threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    model = fit(stats.drop("_row").join(known, "doc_id"))
+    bad = stats.where(model.score() < threshold).select("doc_id", "_row").distinct().alias("b")
+    same = F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r._row") == F.col("b._row"))
+    return C.unfolded(C.whole_rows(docs).alias("r").join(bad, same, "left_anti"), docs)

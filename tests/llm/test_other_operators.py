@@ -128,6 +128,18 @@ def test_quality_of_odd_rows(spark, docs_of):
     assert set(stats[2][1:]) == {0.0}
 
 
+def test_rows_go_by_their_own_score(spark, docs_of):
+    def text(i, good):
+        return "Plain words in a line. " * (i % 7 + 2) if good else "a | b | c || $$$ " * (i % 5 + 2)
+    rows = [(i, text(i, i % 2)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    odd = [(None, text(3, True)), (None, text(4, False)), (901, text(5, True)), (901, text(6, False))]
+    kept = quality.keep_good(docs_of(rows + odd), labels)
+    assert kept.columns == docs_of([]).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == \
+        sorted([r for r in rows if r[0] % 2] + [odd[0], odd[2]], key=str)
+
+
 def test_tree_rules():
     text = "root\n  If (feature 0 <= 1.5)\n   If (feature 0 <= 0.5)\n    Predict: 0\n   Else (feature 0 > 0.5)\n    Predict: 1\n" \
            "  Else (feature 0 > 1.5)\n   Predict: 0\n"
