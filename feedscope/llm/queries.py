@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, common as C, fingerprints, lines, near, packing, quality, substring, vectors, wavelet, webtext
+from . import alignment, bpe, common as C, fingerprints, infill, lines, near, packing, quality, rules, substring, vectors, wavelet, webtext
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,8 +50,21 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(C.documents(spark, folder))
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(C.documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")).drop("measures")
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.transformed(C.documents(spark, folder)).drop("output", "pieces")
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.scored(C.documents(spark, folder))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_best_fit_packing, op3_document_fingerprints, op4_quality_classifier, op5_near_dedup,
-    op6_line_dedup, op7_token_shards, op8_embedding_dedup, op9_page_text, op10_bpe)}
+    op6_line_dedup, op7_token_shards, op8_embedding_dedup, op9_page_text, op10_bpe, op11_quality_rules,
+    op12_fill_in_middle, op13_token_alignment)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_fill_in_middle": infill.ORACLE}
