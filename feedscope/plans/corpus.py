@@ -12,6 +12,7 @@ from ..operators.joins import lookup_join
 from ..operators.ranking import global_rank, top_n
 from ..session import cut_lineage
 from . import fixed_values as V, rules, score as scoring
+from .links import referenced, repair_links, resolve_links, wiki_links  # noqa: F401
 
 
 # ---------------------------------------------------------------- reading and rendering
@@ -99,57 +100,6 @@ def title_audit(notes: DataFrame, name: str = "file_name", heading: str = "title
 
 
 # ---------------------------------------------------------------- links between notes
-def wiki_links(notes: DataFrame, note: str = "note") -> DataFrame:
-    """One row per ``[[target|alias]]``."""
-    raw = F.regexp_extract_all(note, F.lit(r"\[\[([^\[\]]+?)\]\]"), F.lit(1))
-    return notes.select(*[c for c in notes.columns if c != note], F.explode(raw).alias("inner")) \
-                .withColumn("target", F.trim(F.regexp_extract("inner", r"^(.*?)(?:\\?\|.*)?$", 1))).drop("inner")
-
-
-def referenced(names: DataFrame, links: DataFrame, name: str = "file_name") -> DataFrame:
-    """Names that some link points at, with the number of links."""
-    hits = links.groupBy(F.col("target").alias(name)).agg(F.count("*").alias("links"))
-    return names.select(name).distinct().join(hits, name)
-
-
-def resolve_links(links: DataFrame, files: DataFrame, target: str = "target", name: str = "file_name",
-                  path: str = "note_path") -> DataFrame:
-    """Path each link name means, NULL when none or several fit.
-
-    Exact name first (must have one path).  Otherwise the names that start with the
-    link, that the link starts with, or that are the link after a date prefix must
-    be one single name.  Every test is an equi-join: names are cut to the lengths
-    links have (and the other way round), and each cut is reduced to its smallest
-    and largest name before it meets the links, so no pairs are listed.
-    """
-    by_name = cut_lineage(files.groupBy(name).agg(F.min(path).alias("_path"), F.max(path).alias("_path2")))
-    wanted = links.select(F.col(target).alias("_link")).where("_link <> ''").distinct()
-    exact = wanted.join(by_name.select(F.col(name).alias("_link"), F.lit(True).alias("_known"), F.when(
-        F.col("_path") == F.col("_path2"), F.col("_path")).alias("_exact")), "_link", "left")
-    exact = cut_lineage(exact)  # small: one row per distinct link, read four times below
-    open_links = exact.where(F.col("_known").isNull()).select("_link")
-    names = by_name.select(F.col(name).alias("_n"))
-    n, size = F.col("_n"), chars("_n")
-    # cuts of names: every proper prefix, and for dated names every suffix
-    prefixes = names.where(size > 1).select("_n", F.explode(F.sequence(F.lit(1), size - 1)).alias("_k")) \
-                    .select("_n", F.substring(n, F.lit(1), F.col("_k")).alias("_link"))
-    dated = names.where(n.rlike(r"^\d{4}-\d{2}-\d{2} ")) \
-                 .select("_n", F.explode(F.sequence(F.lit(1), size)).alias("_k")) \
-                 .select("_n", F.right("_n", F.col("_k")).alias("_link"))
-    name_cuts = prefixes.unionByName(dated).groupBy("_link").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
-    from_names = open_links.join(name_cuts, "_link")
-    # cuts of links: a name that is a prefix of the link
-    link_cuts = open_links.select("_link", F.explode(F.sequence(F.lit(1), chars("_link"))).alias("_k")) \
-                          .select("_link", F.substring(F.col("_link"), F.lit(1), F.col("_k")).alias("_n"))
-    from_links = link_cuts.join(names, "_n").groupBy("_link").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
-    fuzzy = from_names.unionByName(from_links).groupBy("_link") \
-        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo = _hi") \
-        .join(by_name.select(F.col(name).alias("_lo"), F.col("_path").alias("_fuzzy")), "_lo").select("_link", "_fuzzy")
-    answer = exact.join(fuzzy, "_link", "left").select(
-        F.col("_link").alias(target), F.coalesce("_exact", "_fuzzy").alias("resolved_path"))
-    return lookup_join(links, answer, [target])
-
-
 def move_library_paths(text: Column | str, moves=tuple(V.LIBRARY_MOVES)) -> Column:
     """Rewrite relative links of sites that moved to another library folder."""
     out = F.col(text) if isinstance(text, str) else text

@@ -486,6 +486,7 @@ STOP_WORDS = (
     "as at or from this that it its not have has had").split()
 NOTE_INDEX_FILES = ["政策库.md", "媒体库.md", "ai-index.md"]
 NOTE_LIBRARY_DIR = {"policy": "政策库", "media": "媒体库"}
+LINK_PREFIX_FIX = ("../../policy/../../政策库/", "../../政策库/")
 NOTE_ALLOWED_KEYS = ["source", "url", "date", "published", "tags", "keywords", "summary"]
 CATALOG_SKIPPED_TAGS = ["MOC", "政策库", "媒体库", "wiki"]
 SECTION_PRIORITY = [("/jns/gzdt/", 0), ("/jns/wjfb/", 1)]

@@ -153,27 +153,55 @@ def title_audit(d):
 
 
 # ---------------------------------------------------------------- links
-FILES = "SELECT id, CASE WHEN id % 3 = 0 THEN concat('2024-01-05 ', substring(title, 1, 60)) ELSE substring(title, 1, 60) END AS file_name, concat('p/', CAST(id AS VARCHAR(20))) AS note_path FROM "
-LINKS = "SELECT id, CASE id % 5 WHEN 0 THEN substring(title, 1, 60) WHEN 1 THEN substring(title, 1, 20) WHEN 2 THEN concat(substring(title, 1, 60), ' more') WHEN 3 THEN substring(title, 1, 60) ELSE concat('none ', CAST(id AS VARCHAR(20))) END AS target FROM "
-
-
-@query("wiki_links", f"""WITH f AS ({FILES} articles), l AS ({LINKS} articles),
-e AS (SELECT file_name, min(note_path) AS a, max(note_path) AS b FROM f GROUP BY 1), t AS (SELECT DISTINCT target FROM l WHERE target <> ''),
+# whole titles as names; links name them rightly, cut, with more behind, without their date, or not at all
+FILES = """SELECT id, file_name, concat(CASE WHEN id % 2 = 0 THEN '政策库/g/' ELSE '媒体库/s/' END, file_name, '.md') AS note_path FROM (
+SELECT id, concat(CASE WHEN id % 3 = 0 THEN '2024-01-05 ' ELSE '' END, t) AS file_name FROM (SELECT id, {safe} AS t FROM {{articles}}) q) q"""
+LINKS = """SELECT id, CASE id % 7 WHEN 0 THEN concat('../../', CASE WHEN id % 2 = 0 THEN '政策库/g/' ELSE '媒体库/s/' END, n) WHEN 1 THEN concat('../../政策库/old/', n)
+  WHEN 2 THEN concat('政策库/x/', substring(n, 1, length(n) - 3)) WHEN 3 THEN concat('../../媒体库/', n, ' more') WHEN 4 THEN concat('../../政策库/alt/', t)
+  WHEN 5 THEN concat('../../政策库/none ', CAST(id AS VARCHAR(20))) ELSE concat('人物/', n) END AS path,
+  CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '|alias' ELSE '{bar}| a b' END AS alias, concat('../../媒体库/zzz/', n) AS path2, n
+FROM (SELECT id, t, concat(CASE WHEN id % 3 = 0 THEN '2024-01-05 ' ELSE '' END, t) AS n FROM (SELECT id, {safe} AS t FROM {{articles}}) q) q"""
+SAFE = r"""regexp_replace(title, '[\[\]<>:"/\\|?*]', '_'{g})"""
+
+
+def _both(text, spark):
+    """The same select for both engines: DuckDB replaces all with a flag, Spark doubles the backslashes of literals."""
+    safe = SAFE.format(g="" if spark else ", 'g'")
+    out = text.format(safe=safe.replace("\\", "\\\\") if spark else safe, bar="\\\\" if spark else "\\")
+    return out if spark else out.replace("{articles}", "articles")
+
+
+def _linked_notes(d):
+    """Notes of two library links and one other between texts; every fourth has the doubled prefix."""
+    first = F.when(F.col("id") % 4 == 1, F.replace("path", F.lit("../../政策库/"), F.lit("../../policy/../../政策库/"))).otherwise(F.col("path"))
+    note = F.concat(F.lit("See [["), first, "alias", F.lit("]] and [[人物/x|x]], then [["), "path2", F.lit("|b]].\n"), "n")
+    return d.sql(_both(LINKS, True)).select("id", F.concat(F.lit("政策wiki/概念/n"), F.col("id").cast("string"), F.lit(".md")).alias("note_path"), note.alias("note"))
+
+
+@query("wiki_links", f"""WITH f AS ({_both(FILES, False)}), l AS ({_both(LINKS, False)}),
+e AS (SELECT file_name, min(note_path) AS a, max(note_path) AS b FROM f WHERE file_name <> '' GROUP BY 1),
+s AS (SELECT id, 1 AS no, path AS p FROM l UNION ALL SELECT id, 2, path2 FROM l),
+g AS (SELECT id, no, regexp_extract(p, '[^/]*$') AS target FROM s WHERE NOT starts_with(p, '人物/')
+  AND NOT (starts_with(p, '../../') AND (concat(substring(p, 7), '.md') IN (SELECT note_path FROM f) OR substring(p, 7) IN (SELECT note_path FROM f)))),
+t AS (SELECT DISTINCT target FROM g WHERE target <> ''),
 x AS (SELECT t.target, e.file_name IS NOT NULL AS known, CASE WHEN a = b THEN a END AS p FROM t LEFT JOIN e ON e.file_name = t.target),
 z AS (SELECT x.target, count(*) AS c, min(e.a) AS p FROM x JOIN e ON (starts_with(e.file_name, x.target) AND length(e.file_name) > length(x.target)) OR starts_with(x.target, e.file_name)
-  OR (regexp_matches(e.file_name, '^\\d{{4}}-\\d{{2}}-\\d{{2}} ') AND suffix(e.file_name, x.target)) WHERE NOT x.known AND e.file_name <> '' GROUP BY 1)
-SELECT l.id, l.target, coalesce(x.p, CASE WHEN z.c = 1 THEN z.p END) AS resolved_path FROM l LEFT JOIN x USING (target) LEFT JOIN z USING (target)""")
+  OR (regexp_matches(e.file_name, '^\\d{{4}}-\\d{{2}}-\\d{{2}} ') AND suffix(e.file_name, x.target)) WHERE NOT x.known GROUP BY 1),
+r AS (SELECT g.id, g.no, concat('../../', left(q.p, length(q.p) - 3)) AS p FROM g JOIN (SELECT x.target, coalesce(x.p, CASE WHEN z.c = 1 THEN z.p END) AS p FROM x LEFT JOIN z USING (target)) q USING (target) WHERE q.p IS NOT NULL)
+SELECT l.id, concat('See [[', coalesce(r1.p, l.path), alias, ']] and [[人物/x|x]], then [[', coalesce(r2.p, path2), '|b]].', chr(10), n) AS note,
+  CAST(CASE WHEN r1.p IS NULL THEN 0 ELSE 1 END + CASE WHEN r2.p IS NULL THEN 0 ELSE 1 END AS INT) AS links_fixed
+FROM l LEFT JOIN (SELECT * FROM r WHERE no = 1) r1 ON r1.id = l.id LEFT JOIN (SELECT * FROM r WHERE no = 2) r2 ON r2.id = l.id""".replace("\\\\d", "\\d"))
 def wiki_links(d):
-    return C.resolve_links(d.sql(LINKS + "{articles}"), d.sql(FILES + "{articles}")).select("id", "target", "resolved_path")
+    return C.repair_links(_linked_notes(d), d.sql(_both(FILES, True))).select("id", "note", "links_fixed")
 
 
-@query("referenced_notes", f"""WITH l AS ({LINKS} articles), f AS ({FILES} articles) SELECT file_name, count(*) AS links FROM l JOIN (SELECT DISTINCT file_name FROM f) q ON trim(target) = file_name GROUP BY 1""")
+@query("referenced_notes", f"""WITH l AS ({_both(LINKS, False)}), f AS ({_both(FILES, False)}), t AS (SELECT trim(path) AS target FROM l UNION ALL SELECT trim(path2) FROM l UNION ALL SELECT '人物/x' FROM l)
+SELECT file_name, count(*) AS links FROM t JOIN (SELECT DISTINCT concat('人物/', file_name) AS file_name FROM f UNION SELECT concat('../../媒体库/zzz/', file_name) FROM f UNION SELECT '人物/x') q ON trim(target) = file_name GROUP BY 1""")
 def referenced_notes(d):
-    note = F.concat(F.lit("see [["), F.regexp_replace("target", r"[\[\]|\\]", ""), F.lit("|alias]] and [[other]]"))
-    plain = d.sql(LINKS + "{articles}").where(~F.col("target").rlike(r"[\[\]|\\]"))
-    links = C.wiki_links(plain.select("id", note.alias("note"))).where("target <> 'other'")
-    odd = d.sql(LINKS + "{articles}").where(F.col("target").rlike(r"[\[\]|\\]")).select("id", F.trim("target").alias("target"))
-    return C.referenced(d.sql(FILES + "{articles}"), links.unionByName(odd))
+    files = d.sql(_both(FILES, True))
+    names = [F.concat(F.lit(folder), "file_name") for folder in ("人物/", "../../媒体库/zzz/")]
+    names = files.select(F.explode(F.array(*names, F.lit("人物/x"))).alias("file_name"))
+    return C.referenced(names, C.wiki_links(_linked_notes(d).select("id", "note")))
 
 
 @query("library_moves", """SELECT id, concat('[[../../', CASE id % 4 WHEN 0 THEN '政策库/中国/生态环境部/' WHEN 1 THEN '政策库/国际组织/IEA/' WHEN 2 THEN '媒体库/碳道/' ELSE '政策库/other/' END, title, ']]') AS line FROM articles""")
