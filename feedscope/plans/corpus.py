@@ -12,6 +12,7 @@ from ..operators.joins import lookup_join
 from ..operators.ranking import global_rank, top_n
 from ..session import cut_lineage
 from . import fixed_values as V, rules, score as scoring
+from .note_names import claim_paths  # noqa: F401
 from .links import referenced, repair_links, resolve_links, wiki_links  # noqa: F401
 
 
@@ -51,18 +52,6 @@ def title_index(parsed: DataFrame, order: list[Column]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- planning new notes
-def plan_notes(items: DataFrame, existing: DataFrame) -> DataFrame:
-    """Items that need a note: URL has no complete note, and the path is free or the URL is stale.
-
-    ``items`` carry ``note_path``; ``existing(url, note_path, has_summary)``.
-    """
-    state = existing.groupBy("url").agg(F.max("has_summary").alias("_done"))
-    taken = existing.select("note_path", F.lit(True).alias("_taken")).distinct()
-    j = lookup_join(lookup_join(items, state, ["url"]), taken, ["note_path"])
-    done, stale = F.col("_done"), F.col("_done").isNotNull() & ~F.col("_done")
-    return j.where(~F.coalesce(done, F.lit(False)) & (F.col("_taken").isNull() | stale)).drop("_done", "_taken")
-
-
 def replaced_notes(planned: DataFrame, existing: DataFrame) -> DataFrame:
     """Old paths of stale notes that were planned again under another path."""
     stale = existing.where(~F.col("has_summary")).select("url", F.col("note_path").alias("old_path"))

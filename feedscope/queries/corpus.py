@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.pages import article_text_fast
 from ..functions.times import local_minute_text
-from ..plans import corpus as C, fixed_values as V, rules
-from .base import query
+from ..plans import corpus as C, fixed_values as V, rules, score as scoring
+from ..plans.note_names import item_path
+from .base import SITE_COUNT, SITE_IDS, query
 from .cleaning import BODY_SQL, NAV_MIX
 from .classification import TYPE_SQL
 
@@ -89,29 +90,49 @@ def title_index(d):
     return C.title_index(rows, [F.col("id").desc()])
 
 
+# three days or none, four sites, equal titles, titles equal up to the cut, two items of one URL
+CLASHES = """SELECT id, site_id, CASE id % 5 WHEN 0 THEN 'Weekly report' WHEN 1 THEN concat(repeat('long title ', 9), CAST(id AS VARCHAR(20)), '?') ELSE title END AS title,
+  CASE WHEN id % 6 < 2 THEN concat('p/', CAST(CAST(floor(id / 2) AS BIGINT) AS VARCHAR(20))) ELSE concat('u/', CAST(id AS VARCHAR(20))) END AS url,
+  CASE WHEN id % 3 <> 0 THEN TIMESTAMP '2024-01-05 10:00:00' + INTERVAL '1' DAY * CAST(id % 2 AS INT) END AS published_at FROM {articles}"""
+
+
 def _plan_case(d):
-    i = d.items().withColumn("note_path", F.concat(F.lit("n/"), F.col("id").cast("string")))
-    existing = i.where("id % 3 <> 0").select(
-        F.when(F.col("id") % 7 == 0, F.lit("none")).otherwise(F.col("url")).alias("url"),
-        F.when(F.col("id") % 5 == 0, F.concat(F.lit("old/"), F.col("id").cast("string"))).otherwise(F.col("note_path")).alias("note_path"),
-        (F.col("id") % 40 < 6).alias("has_summary"))
+    names = F.array(*[F.lit(s) for s in SITE_IDS[:4]])
+    i = scoring.with_site_facts(d.sql(CLASHES).withColumn("site_id", F.element_at(names, (F.col("id") % 4 + 1).cast("int"))), d.sites, known_rows=SITE_COUNT)
+    i = i.join(F.broadcast(d.sites.select("site_id", "site_name")), "site_id", "left") if "site_name" not in i.columns else i  # 70 fixed rows
+    k = F.col("id") % 10
+    existing = i.where("id % 10 < 4").select(
+        F.when(k == 3, F.concat(F.lit("none/"), F.col("id").cast("string"))).otherwise(F.col("url")).alias("url"),
+        F.when(k == 2, F.concat(F.lit("old/"), F.col("id").cast("string"))).otherwise(item_path()).alias("note_path"),
+        (k == 0).alias("has_summary"))
     return i, existing
 
 
-PLAN_CTE = """WITH i AS (SELECT id, url, concat('n/', id) AS note_path FROM items),
-e AS (SELECT CASE WHEN id % 7 = 0 THEN 'none' ELSE url END AS url, CASE WHEN id % 5 = 0 THEN concat('old/', id) ELSE concat('n/', id) END AS note_path, id % 40 < 6 AS has_summary FROM items WHERE id % 3 <> 0),
-p AS (SELECT * FROM i WHERE url NOT IN (SELECT url FROM e WHERE has_summary) AND (note_path NOT IN (SELECT note_path FROM e) OR url IN (SELECT url FROM e)))"""
+PLAN_CTE = r"""WITH a AS (SELECT c.*, r.library, r.grp, r.site_name FROM (SELECT * REPLACE (list_extract([{sites}], CAST(id % 4 + 1 AS INT)) AS site_id) FROM ({clashes}) z) c LEFT JOIN registry r USING (site_id)),
+b AS (SELECT *, regexp_replace(title, '[<>:"/\\|?*]', '_', 'g') AS safe, substr(sha256(concat(url, chr(10), title)), 1, 8) AS mark,
+  concat(CASE WHEN library = 'media' THEN '媒体库/' ELSE concat('政策库/', coalesce(nullif(grp,''),'其他'), '/') END, trim(regexp_replace(site_name, '[<>:"/\\|?*]', '_', 'g')), '/',
+    CASE WHEN published_at IS NULL THEN '' ELSE concat(strftime(published_at, '%Y-%m-%d'), ' ') END) AS head FROM a),
+i AS (SELECT id, url, length(safe) > 80 AS cut, concat(head, trim(substring(safe, 1, 80)), '.md') AS p0, concat(head, trim(substring(safe, 1, 70)), ' ~', mark, '.md') AS p1 FROM b),
+e AS (SELECT CASE WHEN id % 10 = 3 THEN concat('none/', id) ELSE url END AS url, CASE WHEN id % 10 = 2 THEN concat('old/', id) ELSE p0 END AS note_path, id % 10 = 0 AS has_summary FROM i WHERE id % 10 < 4),
+t AS (SELECT note_path, min(url) AS u1, max(url) AS u2 FROM e GROUP BY 1),
+f AS (SELECT *, url IN (SELECT url FROM e) AS stale FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS n FROM i WHERE url NOT IN (SELECT url FROM e WHERE has_summary)) q WHERE n = 1),
+c AS (SELECT f.*, t.note_path IS NOT NULL AND NOT (u1 = f.url AND u2 = f.url) AS away FROM f LEFT JOIN t ON t.note_path = p0),
+d AS (SELECT *, row_number() OVER (PARTITION BY p0, away ORDER BY id) AS k FROM c WHERE NOT away OR stale OR cut),
+w AS (SELECT id, url, p0 AS note_path FROM d WHERE NOT away AND k = 1),
+p AS (SELECT * FROM w UNION ALL SELECT id, url, p1 FROM d WHERE NOT (NOT away AND k = 1) AND p1 NOT IN (SELECT note_path FROM w) AND p1 NOT IN (SELECT note_path FROM e))"""
+PLAN_CTE = PLAN_CTE.replace("{sites}", ", ".join(f"'{s}'" for s in SITE_IDS[:4])).replace("{clashes}", CLASHES.replace("{articles}", "articles"))
 
 
 @query("note_plan", PLAN_CTE + " SELECT id, note_path FROM p")
 def note_plan(d):
-    return C.plan_notes(*_plan_case(d)).select("id", "note_path")
+    """Clashing items: each planned note has a path of its own."""
+    return C.claim_paths(*_plan_case(d), [F.col("id")]).select("id", "note_path")
 
 
 @query("replaced_notes", PLAN_CTE + " SELECT DISTINCT e.note_path AS old_path FROM e JOIN p USING (url) WHERE NOT e.has_summary AND e.note_path <> p.note_path")
 def replaced_notes(d):
     items, existing = _plan_case(d)
-    return C.replaced_notes(C.plan_notes(items, existing), existing)
+    return C.replaced_notes(C.claim_paths(items, existing, [F.col("id")]), existing)
 
 
 @query("thin_notes", "SELECT doc_id FROM documents WHERE length(text) < 50")
