@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.joins import spread_if_narrow
 from ..plans import fixed_values as V, rules, score as scoring
-from ..session import ship_package, use_utc
+from ..session import checkpoint_root, ship_package, use_utc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,6 +111,11 @@ class Data:
         return scoring.score(self.classified(), self.as_of)
 
 
+def run_folder(d: Data, name: str) -> str:
+    """A new folder on the shared store."""
+    return f"{checkpoint_root(d.spark).rstrip('/')}/feedscope/{name}-{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(data) -> DataFrame`` and, when SQL can say it, its twin."""
     def keep(fn):

@@ -9,7 +9,8 @@ from ..functions.pages import article_text_fast
 from ..functions.times import local_minute_text
 from ..plans import corpus as C, fixed_values as V, rules, score as scoring
 from ..plans.note_names import item_path
-from .base import SITE_COUNT, SITE_IDS, query
+from ..sources import payloads, sinks
+from .base import SITE_COUNT, SITE_IDS, query, run_folder
 from .cleaning import BODY_SQL, NAV_MIX
 from .classification import TYPE_SQL
 
@@ -74,6 +75,21 @@ def note_round_trip(d):
                     F.array_join("people", ",").alias("people"), "title", "body")
 
 
+@query("note_files_round_trip", NOTE_CTE + """ SELECT sname AS source, url, coalesce(day, published[1:10]) AS date, published, replace(author, '"', '''') AS author,
+  array_to_string(tags, ',') AS tags, array_to_string(people, ',') AS people, trim(title) AS title, nbody AS body FROM n WHERE id IN (SELECT min(id) FROM n GROUP BY url)""")
+def note_files_round_trip(d):
+    """Plan, write one file a note, read the files back, parse."""
+    rows = _note_rows(d)
+    none = d.spark.createDataFrame([], "url string, note_path string, has_summary boolean")
+    slim = rows.select("id", "url", "library", "grp", "site_name", "title", "published_at")
+    paths = C.claim_paths(slim, none, [F.col("id")]).select("id", "note_path")
+    root = run_folder(d, "notes")
+    sinks.write_notes(C.render(rows, d.as_of).drop("note_path").join(paths, "id"), root)
+    p = C.parse(payloads.read_notes(d.spark, root, relative=True))
+    return p.select("source", "url", "date", "published", "author", F.array_join("tags", ",").alias("tags"),
+                    F.array_join("people", ",").alias("people"), "title", "body")
+
+
 @query("lookup_indexes", NOTE_CTE + """, i AS (SELECT url, 'published' AS kind, published AS value, id FROM n WHERE published IS NOT NULL UNION ALL
   SELECT url, 'title', trim(title), id FROM n)
 SELECT url, kind, value FROM (SELECT *, row_number() OVER (PARTITION BY url, kind ORDER BY id DESC) AS k FROM i) q WHERE k = 1""")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
 from ..sources import payloads as P
 from ..streaming import ingest
-from .base import AS_OF_SQL, query
+from .base import AS_OF_SQL, query, run_folder
 from .cleaning import KEY_SQL
 
 
@@ -110,10 +107,6 @@ def microdata_posts(d):
 
 
 # ---------------------------------------------------------------- streams over the same tables
-def _run_folder(d, name):
-    return f"{checkpoint_root(d.spark).rstrip('/')}/feedscope/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(d, name):
     schema = d.table(name).schema
     return d.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d.folder)
@@ -129,7 +122,7 @@ def stream_history(d):
     items = docs.select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
                         F.lit(None).cast("string").alias("url"),
                         F.when(F.col("doc_id") % 11 != 0, d.as_of - F.make_interval(mins=(F.col("doc_id") % 20000 * 113).cast("int"))).alias("published_at"))
-    root = _run_folder(d, "history")
+    root = run_folder(d, "history")
     table = ingest.HistoryTable(d.spark, f"{root}/table")
     ingest.accumulate(items, table, f"{root}/progress", [F.col("id")]).awaitTermination()
     return table.read(d.as_of, 62).select("id")
@@ -140,7 +133,7 @@ def stream_repeats(d):
     """Repeat suppression on the event stream; the watermark spans the whole table."""
     events = _stream(d, "events").select(F.col("ts").cast("timestamp").alias("published_at"),
                                          F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("title"))
-    root = _run_folder(d, "repeats")
+    root = run_folder(d, "repeats")
     q = ingest.suppress_repeats(events, keep_for="1000 hours", key=F.col("title")).writeStream.format("parquet") \
         .option("path", f"{root}/table").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     q.awaitTermination()

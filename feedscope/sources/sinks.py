@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+from .note_files import write_notes  # noqa: F401
+
 
 def feed_summary(kept: DataFrame, raw: DataFrame, as_of: Column, window_hours: int = 96) -> DataFrame:
     """The one-row head of a windowed feed."""
@@ -31,18 +34,13 @@ def write_history(items: DataFrame, path: str) -> None:
 
 def write_index(index: DataFrame, path: str) -> bool:
     """A lookup index is replaced only by a non-empty one."""
-    if index.isEmpty():
+    rows = cut_lineage(index)  # computed once, and ``index`` may be read from ``path``
+    if rows.isEmpty():
         return False
-    index.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").parquet(path)
     return True
 
 
-def write_notes(notes: DataFrame, path: str) -> None:
-    """Rendered notes as partitioned text, one record per note."""
-    notes.select("library", "grp", "site_id", F.col("note").alias("value")) \
-         .write.mode("overwrite").option("lineSep", "\u001e").partitionBy("library", "grp", "site_id").text(path)
-
-
 def write_text(lines: DataFrame, path: str, column: str) -> None:
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
