@@ -13,9 +13,14 @@ from ..operators.joins import lookup_join
 SIMILAR_ENOUGH = 0.45
 
 
+def one_per_key(index: DataFrame, key: str, column: str) -> DataFrame:
+    """The greatest value of each key, so that a repeated key never multiplies items."""
+    return index.groupBy(key).agg(F.max(column).alias(column))
+
+
 def fill_published(items: DataFrame, index: DataFrame, first_seen: str = "first_seen_at") -> DataFrame:
     """``index(url, published)`` holds local text.  Without any time the capture time is used and marked."""
-    j = lookup_join(items, index.select("url", F.col("published").alias("_pub")), ["url"])
+    j = lookup_join(items, one_per_key(index, "url", "published").withColumnRenamed("published", "_pub"), ["url"])
     archived = local_to_utc("_pub")
     return j.withColumn("time_source", F.when(F.col("published_at").isNotNull() | archived.isNotNull(), "published")
                         .when(F.col(first_seen).isNotNull(), "scraped")) \
@@ -23,7 +28,7 @@ def fill_published(items: DataFrame, index: DataFrame, first_seen: str = "first_
 
 
 def fill_summary(items: DataFrame, index: DataFrame) -> DataFrame:
-    j = lookup_join(items, index.select("url", F.col("summary").alias("_sum")), ["url"])
+    j = lookup_join(items, one_per_key(index, "url", "summary").withColumnRenamed("summary", "_sum"), ["url"])
     return j.withColumn("summary", F.coalesce(F.nullif("summary", F.lit("")), F.nullif("_sum", F.lit("")),
                                               F.lit(""))).drop("_sum")
 
@@ -41,8 +46,8 @@ def fill_title(items: DataFrame, index: DataFrame, least: float = SIMILAR_ENOUGH
 
     The similarity runs on joined pairs only; ``containment_only`` keeps it on the JVM side.
     """
-    clean = strip_title_suffix("title")
-    j = lookup_join(items, index.select("url", clean.alias("_full")), ["url"])
+    full = one_per_key(index, "url", "title").select("url", strip_title_suffix("title").alias("_full"))
+    j = lookup_join(items, full, ["url"])
     better = (F.col("_full").isNotNull() & (chars("_full") > chars(text_or_empty("title")))
               & ~is_nav_title("_full"))
     if containment_only:
@@ -55,7 +60,7 @@ def fill_title(items: DataFrame, index: DataFrame, least: float = SIMILAR_ENOUGH
 
 def translate_from_cache(items: DataFrame, cache: DataFrame) -> DataFrame:
     """Add ``title_zh`` and ``to_translate`` (needs one, cache has none).  ``cache(title, title_zh)``."""
-    j = lookup_join(items.drop("title_zh"), cache.select("title", F.col("title_zh").alias("_zh")), ["title"])
+    j = lookup_join(items.drop("title_zh"), one_per_key(cache, "title", "title_zh").withColumnRenamed("title_zh", "_zh"), ["title"])
     need = needs_translation("title")
     return j.withColumn("title_zh", F.when(need, F.coalesce("_zh", F.lit(""))).otherwise(F.lit(""))) \
             .withColumn("to_translate", need & (F.coalesce("_zh", F.lit("")) == "")).drop("_zh")
@@ -63,13 +68,13 @@ def translate_from_cache(items: DataFrame, cache: DataFrame) -> DataFrame:
 
 def replace_by_url(items: DataFrame, fixes: DataFrame, column: str, how: str = "left") -> DataFrame:
     """Override a column from ``fixes(url, column)``."""
-    j = lookup_join(items, fixes.select("url", F.col(column).alias("_fix")), ["url"], how)
+    j = lookup_join(items, one_per_key(fixes, "url", column).withColumnRenamed(column, "_fix"), ["url"], how)
     return j.withColumn(column, F.coalesce("_fix", column)).drop("_fix")
 
 
 def real_urls(items: DataFrame, resolved: DataFrame, host: str) -> DataFrame:
     """Replace aggregator links by ``resolved(url, real_url)``; other links stay."""
-    j = lookup_join(items, resolved.select("url", "real_url"), ["url"])
+    j = lookup_join(items, one_per_key(resolved, "url", "real_url"), ["url"])
     return j.withColumn("url", F.when(F.col("url").contains(host), F.coalesce(F.nullif("real_url", F.lit("")), "url"))
                         .otherwise(F.col("url"))).drop("real_url")
 

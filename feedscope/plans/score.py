@@ -69,6 +69,11 @@ def in_window(items: DataFrame, as_of: Column, hours: Column | None = None) -> D
                        | (F.col("published_at") >= as_of - F.make_interval(hours=width)))
 
 
+def outside_window(items: DataFrame, as_of: Column) -> DataFrame:
+    """Rows that ``in_window`` leaves out."""
+    return items.where(F.col("published_at") < as_of - F.make_interval(hours=F.col("window_hours")))
+
+
 def freshness_drift(items: DataFrame, as_of: Column) -> DataFrame:
     """Stored freshness against freshness now."""
     return items.withColumn("freshness_live", rules.freshness_score("published_at", as_of)) \

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import accumulation, base, classification, cleaning, corpus, landing, reports  # noqa: F401
+    from . import accumulation, base, classification, cleaning, corpus, landing, reports, runs  # noqa: F401
     return base
 
 

@@ -213,6 +213,16 @@ def duck_ctes() -> dict[str, str]:
     }
 
 
+def chain(base: str, mark: str) -> str:
+    """The shared CTEs from ``sited`` to ``scored`` again, over another base; their names end with the mark."""
+    ctes, names = duck_ctes(), ["sited", "classified", "parts", "scored"]
+
+    def own(text):
+        text = re.sub(r"\bFROM items i\b", f"FROM {base} i", text)
+        return re.sub(rf"\bFROM ({'|'.join(names)})\b", rf"FROM \1{mark}", text)
+    return ",\n".join(f"{n}{mark} AS ({own(ctes[n])})" for n in names)
+
+
 NEEDS = {"sited": ["items", "registry"], "classified": ["sited"], "parts": ["classified"], "scored": ["parts"]}
 
 

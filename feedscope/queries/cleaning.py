@@ -152,11 +152,11 @@ def publisher_names(d):
     return d.sql(TAILED.format(t="title", f="{items}")).select("id", name.alias("name"), T.is_publisher(name).alias("publisher"))
 
 
-def _strip_rounds() -> str:
-    """Six separators in order, each three rounds, as plain nested selects."""
+def strip_rounds(source: str) -> str:
+    """Six separators in order, each three rounds, as plain nested selects over (id, raw)."""
     sql = f"""SELECT id, CASE WHEN contains(u,'摘要：') THEN trim(split_part(u,'摘要：',1))
         WHEN contains(u,'摘要:') THEN trim(split_part(u,'摘要:',1)) ELSE u END AS r
-      FROM (SELECT id, replace(trim(raw), '&amp;', '&') AS u FROM ({TAILED.format(t="title", f="items")}) z) y"""
+      FROM (SELECT id, replace(trim(raw), '&amp;', '&') AS u FROM ({source}) z) y"""
     for sep in V.TITLE_SEPARATORS:
         for _ in range(3):
             q, last = quoted(sep), quoted(f"(?s)^(.*){B.escape(sep)}(.*)$")
@@ -165,7 +165,7 @@ def _strip_rounds() -> str:
     return sql
 
 
-@query("title_suffix", f"SELECT id, r AS title FROM ({_strip_rounds()}) z")
+@query("title_suffix", f"SELECT id, r AS title FROM ({strip_rounds(TAILED.format(t='title', f='items'))}) z")
 def title_suffix(d):
     return d.sql(TAILED.format(t="title", f="{items}")).select("id", T.strip_title_suffix("raw").alias("title"))
 

@@ -128,9 +128,9 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     ingest.accumulate(stream, table, str(tmp_path / "cp"), [F.col("id")]).awaitTermination()
     keys = sorted(r["title"] for r in table.read(as_of(), 62).collect())
     assert keys == sorted({f"T{i % 90}" for i in range(200)})
-    folders = list((tmp_path / "table").glob("stream=*/batch=*"))
-    assert len(folders) == 4
-    name = folders[0].parent.name.removeprefix("stream=s-")
+    entries = table.entries()
+    assert sorted(e["batch"] for e in entries) == [0, 1, 2, 3]
+    name = entries[0]["stream"]
     table.append(rows.where("id >= 50 AND id < 100"), 1, [F.col("id")], stream=name)
     assert sorted(r["title"] for r in table.read(as_of(), 62).collect()) == keys
 
@@ -204,3 +204,63 @@ def test_reflow_and_lines(spark):
     assert out == body.replace("结束。\n", "结束。\n\n").replace("标点\n", "标点\n\n")
     again = df.withColumn("b", X.reflow("b")).select(X.reflow("b")).first()[0]
     assert again == out
+
+
+# ---------------------------------------------------------------- stored keys
+def _history_rows(spark, ids, title="T{}"):
+    return spark.createDataFrame([(i, title.format(i), "u") for i in ids], "id int, title string, url string").withColumn("published_at", as_of())
+
+
+def _files(df):
+    return sorted({f.split("/keys/")[1].split("/")[1] for f in df.inputFiles()})
+
+
+def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
+    table = ingest.HistoryTable(spark, str(tmp_path / "t"), buckets=16)
+    table.append(_history_rows(spark, range(300)), 0, [F.col("id")], stream="s")
+    assert table.entries()[0]["buckets"] == list(range(16))
+    one = _history_rows(spark, [7]).withColumn("b", F.pmod(F.xxhash64(table.key), F.lit(16)))
+    bucket = one.first()["b"]
+    seen = []
+    table.known_keys, whole = (lambda buckets, entries: seen.append((buckets, read := whole(buckets, entries))) or read), table.known_keys
+    assert table.append(one.drop("b"), 1, [F.col("id")], stream="s").count() == 0
+    ((buckets, known),) = seen
+    assert buckets == [bucket] and _files(known) == [f"bucket={bucket}"] and known.count() < 60
+
+
+def test_compaction_keeps_rows_keys_and_restarts(spark, tmp_path):
+    table = ingest.HistoryTable(spark, str(tmp_path / "t"), buckets=4)
+    for stream in ("a", "b"):  # two checkpoints
+        for n in range(3):
+            table.append(_history_rows(spark, range(n * 20, n * 20 + 30)), n, [F.col("id")], stream=stream)
+    before = sorted(r["id"] for r in table.read(as_of(), 62).collect())
+    assert before == list(range(70))
+    table.compact()
+    assert sorted((e["stream"], e["batch"]) for e in table.entries()) == [("", -1), ("a", 2), ("b", 2)]
+    assert sorted(r["id"] for r in table.read(as_of(), 62).collect()) == before
+    # the newest batch runs again, then a known and a new row come
+    table.append(_history_rows(spark, range(40, 70)), 2, [F.col("id")], stream="a")
+    assert [r["id"] for r in table.append(_history_rows(spark, [5, 70]), 3, [F.col("id")], stream="a").collect()] == [70]
+    table.compact()
+    assert sorted(r["id"] for r in table.read(as_of(), 62).collect()) == list(range(71))
+    live = {e["folder"] for e in table.manifest.read()[1]}
+    assert {p.name for p in (tmp_path / "t" / "rows").iterdir()} == live  # what the first compaction replaced is gone
+    small = ingest.HistoryTable(spark, str(tmp_path / "small"), compact_after=2)
+    for n in range(5):
+        small.append(_history_rows(spark, [n]), n, [F.col("id")])
+    assert len(small.entries()) <= 3 and small.read(as_of(), 62).count() == 5
+
+
+def test_a_run_with_repeated_side_rows_multiplies_nothing(spark):
+    from feedscope.plans import rules, run as R
+    raw = spark.createDataFrame([(1, "unlisted", "Carbon market report", "", "u1", None), (2, "unlisted", "carbon market report!", "", "u2", None),
+                                 (3, "unlisted", "Solar power grid", "s", None, None)],
+                                "id long, site_id string, title string, summary string, url string, published_at timestamp")
+    twice = spark.createDataFrame([("u1", "Carbon market report in full", "S", "2024-01-20 08:00")] * 3, "url string, title string, summary string, published string")
+    zh = spark.createDataFrame([("Carbon market report", "old"), ("Carbon market report in full", "new"), ("Carbon market report", "old")], "title string, title_zh string")
+    side = R.SideTables(twice, twice, twice, zh)
+    kept, late = R.full_run(raw, rules.registry(spark), side, as_of(), [F.col("id")], "id", containment_only=True)
+    got = {r["id"]: (r["title"], r["title_zh"], r["summary"], r["time_source"]) for r in kept.collect()}
+    assert got[1] == ("Carbon market report in full", "new", "S", "published") and len(got) == kept.count() and late.count() == 0
+    bare, _ = R.full_run(raw, rules.registry(spark), R.SideTables(), as_of(), [F.col("id")], "id")
+    assert {r["title_zh"] for r in bare.collect()} == {""} and R.full_run(raw.limit(0), rules.registry(spark), R.SideTables(), as_of(), [F.col("id")], "id")[0].count() == 0
