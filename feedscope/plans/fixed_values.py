@@ -306,6 +306,9 @@ PEOPLE_BODY_CHARS = 2000
 # --- fixed values: digest -------------------------------------------------------------
 DIMENSION_ICONS = {DIM_POLICY: "🏛️", DIM_INDUSTRY: "🔋", DIM_MARKET: "💰", DIM_AI: "🤖"}
 DIGEST_SITES = 47
+# a title repeated at the head of a summary: times, characters allowed before it, characters that must be equal, edges cut off
+REPEATED_TITLE = (3, 2, 12)
+REPEATED_TITLE_EDGES = r"^[ ，。、：:；;,.·\-—]+|[ ，。、：:；;,.·\-—]+$"
 
 # --- fixed values: title and link junk -----------------------------------------------
 TITLE_SEPARATORS = [" - ", " — ", " – ", " | ", " ｜ ", " _ "]

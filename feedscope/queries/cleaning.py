@@ -288,24 +288,51 @@ def digest_titles(d):
     return d.sql(DIRTY_TITLE + "{items}").select("id", T.clean_digest_title("raw").alias("title"))
 
 
-@query("digest_summaries")
+def summary_base_sql(source: str) -> str:
+    """id, title, s: the cleaned summary of (id, title, raw)."""
+    marked = trim_sql("substring(s, strpos(s,'摘要：') + 3)")
+    return rf"""SELECT id, title, regexp_replace(regexp_replace(regexp_replace(s, '发布时间：\d{{4}}-\d{{2}}-\d{{2}}\s*', '', 'g'), '{EDITOR}', '', 'g'),
+  '^文章来源[:：]\s*[^\s，。；]{{1,24}}\s*\d{{4}}[-/]\d{{2}}[-/]\d{{2}}\s*\d{{2}}:\d{{2}}\s*', '') AS s FROM (
+  SELECT id, title, CASE WHEN contains(s,'摘要：') THEN {marked} ELSE s END AS s FROM (SELECT id, title, {squeeze_sql('raw')} AS s FROM ({source}) a1) a2) a3"""
+
+
+def digest_summary_sql(source: str) -> str:
+    """id, summary of (id, title, raw): the common run is found letter by letter, places by listing the letters."""
+    rounds, before, least = V.REPEATED_TITLE
+    sql = f"SELECT id, regexp_replace(coalesce(title,''), '{WS}+', '', 'g') AS t, s FROM ({summary_base_sql(source)}) b0"
+    at = " ".join(f"WHEN starts_with(substring(f,{k + 1}), left(t,{least})) THEN {k}" for k in range(before + 1))
+    for _ in range(rounds):
+        sql = f"""SELECT id, t, CASE WHEN n >= {least} THEN regexp_replace(concat(left(s, place[k + 1] - 1), CASE WHEN k + n < len(place) THEN substring(s, place[k + n + 1]) ELSE '' END), {quoted(V.REPEATED_TITLE_EDGES)}, '', 'g') ELSE s END AS s FROM (
+  SELECT *, CASE WHEN k IS NOT NULL THEN list_filter(range(1, length(s) + 1), lambda i: letters[i] <> ' ') END AS place,
+    CASE WHEN k IS NOT NULL THEN coalesce(list_position(list_transform(range(1, least(length(f) - k, length(t)) + 1), lambda i: fl[k + i] = tl[i]), FALSE) - 1, least(length(f) - k, length(t))) END AS n FROM (
+  SELECT *, CASE WHEN k IS NOT NULL THEN string_split(s, '') END AS letters, CASE WHEN k IS NOT NULL THEN string_split(f, '') END AS fl, CASE WHEN k IS NOT NULL THEN string_split(t, '') END AS tl FROM (
+  SELECT *, CASE WHEN length(t) <= 4 THEN NULL {at} END AS k FROM (SELECT *, replace(s, ' ', '') AS f FROM ({sql}) c1) c2) c3) c4) c5"""
+    return f"SELECT id, concat(regexp_replace(substring(s,1,90), '[，。、；：,.;: ]+$', ''), CASE WHEN length(s) > 90 THEN '…' ELSE '' END) AS summary FROM ({sql}) c6"
+
+
+@query("digest_summaries", digest_summary_sql(DIRTY_SUMMARY.format(f="articles")))
 def digest_summaries(d):
     return d.sql(DIRTY_SUMMARY.format(f="{articles}")).select("id", X.digest_summary("title", "raw").alias("summary"))
 
 
-@query("digest_summary_base", rf"""WITH q AS ({DIRTY_SUMMARY.format(f="articles")}), a AS (SELECT id, {squeeze_sql('raw')} AS s FROM q),
-b AS (SELECT id, CASE WHEN contains(s,'摘要：') THEN {trim_sql("substring(s, strpos(s,'摘要：') + 3)")} ELSE s END AS s FROM a)
-SELECT id, regexp_replace(regexp_replace(regexp_replace(s, '发布时间：\d{{4}}-\d{{2}}-\d{{2}}\s*', '', 'g'), '{EDITOR}', '', 'g'),
-  '^文章来源[:：]\s*[^\s，。；]{{1,24}}\s*\d{{4}}[-/]\d{{2}}[-/]\d{{2}}\s*\d{{2}}:\d{{2}}\s*', '') AS summary FROM b""")
+@query("digest_summary_base", f"SELECT id, s AS summary FROM ({summary_base_sql(DIRTY_SUMMARY.format(f='articles'))}) z")
 def digest_summary_base(d):
     return d.sql(DIRTY_SUMMARY.format(f="{articles}")).select("id", X.digest_summary_base("raw").alias("summary"))
 
 
-@query("screen_summaries", rf"""WITH q AS ({DIRTY_SUMMARY.format(f="articles")}), a AS (SELECT id, {squeeze_sql('raw')} AS s FROM q),
-b AS (SELECT id, CASE WHEN contains(s,'摘要：') THEN {trim_sql("split_part(s,'摘要：',2)")} ELSE s END AS s FROM a),
-c AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(s, '发布时间：\d{{4}}-\d{{2}}-\d{{2}}\s*', '', 'g'), '{EDITOR}', '', 'g'),
-  '阅读量\s*[：:·]?\s*\d+', '', 'g') AS s FROM b)
-SELECT id, regexp_replace(substring(s,1,90), '[，。、；：,.;:·\s]+$', '') AS summary FROM c""")
+def screen_summary_sql(source: str) -> str:
+    """id, summary of (id, raw)."""
+    return rf"""SELECT id, regexp_replace(substring(s,1,90), '[，。、；：,.;:·\s]+$', '') AS summary FROM (
+  SELECT id, regexp_replace(regexp_replace(regexp_replace(s, '发布时间：\d{{4}}-\d{{2}}-\d{{2}}\s*', '', 'g'), '{EDITOR}', '', 'g'), '阅读量\s*[：:·]?\s*\d+', '', 'g') AS s FROM (
+  SELECT id, CASE WHEN contains(s,'摘要：') THEN {trim_sql("split_part(s,'摘要：',2)")} ELSE s END AS s FROM (SELECT id, {squeeze_sql('raw')} AS s FROM ({source}) a1) a2) a3) a4"""
+
+
+def digest_title_sql(title: str) -> str:
+    t = f"trim(split_part({squeeze_sql(title)}, '摘要：', 1))"
+    return trim_sql(rf"regexp_replace(regexp_replace({t}, '{EDITOR}\s*$', ''), '\s*[-–—]\s*[^，。；！？、\s]{{2,24}}$', '')")
+
+
+@query("screen_summaries", screen_summary_sql(DIRTY_SUMMARY.format(f="articles")))
 def screen_summaries(d):
     return d.sql(DIRTY_SUMMARY.format(f="{articles}")).select("id", X.screen_summary("raw").alias("summary"))
 

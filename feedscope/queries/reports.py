@@ -8,7 +8,8 @@ from ..operators import ranking
 from ..plans import analytics, digest, fixed_values as V, health, rank, score as scoring
 from ..session import cut_lineage
 from ..sources import sinks
-from .base import AS_OF_SQL, query
+from .base import AS_OF_SQL, query, quoted
+from .cleaning import digest_summary_sql, digest_title_sql, screen_summary_sql
 
 IMPORTANCE = "score DESC, published_at DESC NULLS LAST, id"
 
@@ -90,12 +91,24 @@ def digest_distribution(d):
     return digest.distribution(_picked(d))
 
 
-@query("digest_text")
+DIGEST_SQL = PICK_CTE + f""", t AS (SELECT p.*, {digest_title_sql("coalesce(title,'')")} AS dt FROM p),
+ds AS ({digest_summary_sql("SELECT id, dt AS title, summary AS raw FROM t")}),
+o AS (SELECT t.*, ds.summary AS sm, row_number() OVER (PARTITION BY dimension ORDER BY score DESC, id) AS no,
+  list_position([{", ".join(quoted(x) for x in V.DIMENSIONS)}], dimension) AS dr, CASE dimension {" ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in V.DIMENSION_ICONS.items())} END AS icon FROM t JOIN ds USING (id)),
+g AS (SELECT dimension, dr, icon, count(*) AS n, string_agg(concat(no, '. ', dt, '（', coalesce(site_name, ''), CASE WHEN published_at IS NULL THEN '' ELSE concat(' · ', strftime(published_at, '%m-%d')) END, '）⭐', score, chr(10),
+  CASE WHEN sm <> '' THEN concat('　　', sm, chr(10)) ELSE '' END, '🔗 ', trim(url), chr(10)), chr(10) ORDER BY no) AS body FROM o GROUP BY 1, 2, 3)
+SELECT concat('当日高分浓缩', chr(10), '📅 2024-01-31 ｜ {V.DIGEST_SITES} 个信源 ｜ A级以上精选 ', sum(n), ' 条', chr(10), chr(10),
+  string_agg(concat('【', icon, ' ', dimension, ' · ', n, ' 条】', chr(10), body, chr(10), chr(10)), '' ORDER BY dr), '📊 分布：', string_agg(concat(icon, ' ', dimension, ' ', n), ' / ' ORDER BY dr), chr(10)) AS digest FROM g"""
+
+
+@query("digest_text", DIGEST_SQL)
 def digest_text(d):
     return digest.text(_picked(d), "2024-01-31")
 
 
-@query("clipboard_text")
+@query("clipboard_text", f"""WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {IMPORTANCE}) AS rank FROM scored) q WHERE rank <= 20),
+s AS ({screen_summary_sql("SELECT id, summary AS raw FROM b")})
+SELECT rank, concat(rank, '. 【', score, '分】', title, chr(10), '　　', coalesce(site_name, ''), ' · ', dimension, CASE WHEN s.summary <> '' THEN concat(chr(10), '　　', s.summary) ELSE '' END) AS entry FROM b JOIN s USING (id)""")
 def clipboard_text(d):
     named = d.scored().join(F.broadcast(d.sites.select("site_id", "site_name")), "site_id", "left")  # 70 fixed rows
     return digest.clipboard(named, ranking.importance_order())

@@ -106,3 +106,23 @@ def test_similarity_against_plain_python(spark):
     got = [r[0] for r in df.select(T.title_similarity("a", "b")).collect()]
     want = [1.0, difflib.SequenceMatcher(None, "abcdef", "xyz").ratio(), 0.0, difflib.SequenceMatcher(None, "gpt5news", "gpt6new").ratio()]
     assert got == pytest.approx(want)
+
+
+def test_repeated_titles_go_from_summaries(spark):
+    from feedscope.functions import text as X
+    title = "Carbon market opens in 2024"
+    cases = [(title, f"{title} Trading began.", "Trading began"), (title, f"{title} {title}，{title} Trading began.", "Trading began"),
+             (title, f"Ab {title} Trading.", "Ab Trading"), (title, f"Abc {title} Trading.", f"Abc {title} Trading."),
+             (title, "Carbonmarket opens later", "later"), (title, "Carbon mark", "Carbon mark"), ("abcd", "abcd abcd", "abcd abcd"),
+             (title, f"{title} " * 4 + "end", f"{title} end"), (None, "text", "text"), (title, title, ""), (title, "", ""),
+             ("长" * 30, "长 " * 40 + "尾", "长 " * 10 + "尾"), ("x" * 5000, "y" * 2 + "x" * 5000, "yy")]
+    df = spark.createDataFrame(cases, "t string, s string, w string")
+    got = df.select("t", "s", "w", X.without_leading_title(F.col("t"), F.regexp_replace(F.trim("s"), " +", " ")).alias("g")).collect()
+    assert [r.g for r in got] == [r.w for r in got]
+
+
+def test_common_prefixes(spark):
+    from feedscope.functions import text as X
+    df = spark.createDataFrame([("", "a", 0), ("abc", "abd", 2), ("x" * 1000, "x" * 999 + "y", 999), ("ab", "ab", 2), ("🎉é1", "🎉é2", 2)], "a string, b string, n int")
+    assert df.where(X.common_prefix(F.col("a"), F.col("b")) != F.col("n")).count() == 0
+    assert df.select(X.place_without_blanks(F.lit("ab c d"), F.lit(2)), X.place_without_blanks(F.lit("ab c d"), F.lit(4))).first()[:] == (3, 7)
