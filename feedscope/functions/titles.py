@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import html
-
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as D
 
 from ..plans import fixed_values as V
 from .base import any_of, built_once, chars, col, collapse_ws, let, text_or_empty, trim_ws
+from .references import unescape
 
 KEY_NOISE = r"[\s\x{a0}\x{3000}\-_—–()（）【】\[\]「」『』・,，.。:：;；/\\|]"
 SIMILARITY_NOISE = r"[\s\x{a0}\x{3000}\-—–|｜_【】\[\]（）()《》〈〉<>「」『』\"'“”‘’.,，。:：;；!！?？、…]"
 _ACRONYM = r"^[A-Z][A-Z0-9]{1,8}$"
 _DOMAIN = r"(?i)\.(gov|com|org|net|in|eu|go\.jp)([^A-Za-z0-9_]|$)"
 
-# --- fixed values: character references seen in feed titles ---
-ENTITIES = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ",
-            "&ldquo;": "“", "&rdquo;": "”", "&lsquo;": "‘", "&rsquo;": "’", "&ndash;": "–",
-            "&mdash;": "—", "&hellip;": "…", "&middot;": "·", "&copy;": "©", "&reg;": "®",
-            "&eacute;": "é", "&egrave;": "è", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü",
-            "&szlig;": "ß", "&ccedil;": "ç", "&ntilde;": "ñ", "&deg;": "°", "&euro;": "€"}
-
 
 @built_once
 def title_key(title: Column | str, most_chars: int | None = None) -> Column:
@@ -30,44 +22,6 @@ def title_key(title: Column | str, most_chars: int | None = None) -> Column:
     return F.substring(key, 1, most_chars) if most_chars else key
 
 
-@built_once
-def unescape(x: Column | str) -> Column:
-    """Resolve character references: usual names and all numeric ones, on the JVM side.
-
-    ``unescape_all`` knows every HTML name and costs an Arrow round trip.
-    """
-    def one(p):
-        code = F.when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "([0-9A-Fa-f]+);$", 1), 16, 10)) \
-                .otherwise(F.regexp_extract(p, "([0-9]+);$", 1))
-        return F.when(p.rlike(r"^&#[xX]?[0-9A-Fa-f]+;$"), let(code.cast("long"), _code_point)).otherwise(p)
-
-    def resolve(t):
-        # cut around every numeric reference, resolve each piece, glue again
-        pieces = F.split(F.regexp_replace(t, r"(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)", "\u0001$1\u0001"), "\u0001")
-        out = F.when(t.contains("&#"), F.array_join(F.transform(pieces, one), "")).otherwise(t)
-        for name, ch in ENTITIES.items():
-            out = F.replace(out, F.lit(name), F.lit(ch))
-        return F.when(t.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(t)
-
-    return let(text_or_empty(x), resolve)
-
-
-def _code_point(code: Column) -> Column:
-    """Character of a Unicode code point, by its UTF-16 bytes."""
-    low = F.lpad(F.hex(code), 4, "0")
-    rest = code - 0x10000
-    pair = F.concat(F.hex(F.lit(0xD800) + F.shiftright(rest, 10)),
-                    F.hex(F.lit(0xDC00) + rest.bitwiseAND(F.lit(0x3FF))))
-    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.when(code < 0x10000, low).otherwise(pair)), "UTF-16BE")) \
-            .otherwise("�")
-
-
-@F.pandas_udf(D.StringType())
-def unescape_all(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
-
-
 def strip_feed_source(title: Column | str, source: Column | str) -> Column:
     """Drop ' - source': the named source, else a short tail that looks like an institution."""
     t = trim_ws(text_or_empty(title))

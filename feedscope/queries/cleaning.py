@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import base as B, pages as P, text as X, times as TM, titles as T, urls as U
+from ..functions import base as B, pages as P, references as R, text as X, times as TM, titles as T, urls as U
 from ..plans import fixed_values as V
 from ..sources.listing import ListRule, listing_links
 from .base import AS_OF_SQL, query, quoted
@@ -152,11 +152,28 @@ def publisher_names(d):
     return d.sql(TAILED.format(t="title", f="{items}")).select("id", name.alias("name"), T.is_publisher(name).alias("publisher"))
 
 
+def unescape_sql(e: str) -> str:
+    """Character references of HTML 5 resolved piece by piece."""
+    names = ", ".join(quoted(n) for n in R.html5)
+    table = f"map([{names}], [{', '.join(quoted(c) for c in R.html5.values())}])"
+    bare = f"map([{', '.join(quoted(n) for n in R.BARE)}], [{', '.join(quoted(c) for c in R.BARE.values())}])"
+    legacy = f"map([{', '.join(map(str, R.legacy_codes()))}], [{', '.join('chr(' + str(ord(c)) + ')' if ord(c) else quoted(c) for c in R.legacy_codes().values())}])"
+    name, number = r"regexp_extract(p, '^[^\t\n\f <&#;]{1,32};?')", "regexp_extract(p, '^#([xX][0-9a-fA-F]+|[0-9]+);?')"
+    digits = f"regexp_replace(replace(replace({number}, '#', ''), ';', ''), '^([xX]?)0*([0-9a-fA-F])', '\\1\\2')"
+    code = f"CASE WHEN regexp_matches({digits}, '^[xX]') THEN CASE WHEN length({digits}) > 10 THEN 1114112 ELSE CAST(concat('0x', substring({digits}, 2)) AS BIGINT) END WHEN length({digits}) > 9 THEN 1114112 ELSE CAST({digits} AS BIGINT) END"
+    silent = "c BETWEEN 1 AND 8 OR c = 11 OR c BETWEEN 14 AND 31 OR c = 127 OR c BETWEEN 64976 AND 65007 OR (c & 65534) = 65534"
+    char = f"""list_transform([{code}], lambda c: CASE WHEN c IN (0, 13) OR c BETWEEN 128 AND 159 THEN {legacy}[c] WHEN c BETWEEN 55296 AND 57343 OR c > 1114111 THEN chr(65533) WHEN {silent} THEN '' ELSE chr(CAST(c AS INT)) END)[1]"""
+    partly = f"""list_filter(list_transform([6, 5, 4, 3, 2], lambda k: CASE WHEN k < length({name}) AND {bare}[left(p, k)] IS NOT NULL THEN concat({bare}[left(p, k)], substring(p, k + 1)) END), lambda v: v IS NOT NULL)[1]"""
+    piece = f"""CASE WHEN i = 1 THEN p WHEN {number} <> '' THEN concat({char}, substring(p, length({number}) + 1))
+      WHEN {name} <> '' THEN CASE WHEN {table}[{name}] IS NOT NULL THEN concat({table}[{name}], substring(p, length({name}) + 1)) ELSE coalesce({partly}, concat('&', p)) END ELSE concat('&', p) END"""
+    return f"(CASE WHEN contains({e}, '&') THEN array_to_string(list_transform(string_split({e}, '&'), lambda p, i: {piece}), '') ELSE {e} END)"
+
+
 def strip_rounds(source: str) -> str:
     """Six separators in order, each three rounds, as plain nested selects over (id, raw)."""
     sql = f"""SELECT id, CASE WHEN contains(u,'摘要：') THEN trim(split_part(u,'摘要：',1))
         WHEN contains(u,'摘要:') THEN trim(split_part(u,'摘要:',1)) ELSE u END AS r
-      FROM (SELECT id, replace(trim(raw), '&amp;', '&') AS u FROM ({source}) z) y"""
+      FROM (SELECT id, {unescape_sql('trim(raw)')} AS u FROM ({source}) z) y"""
     for sep in V.TITLE_SEPARATORS:
         for _ in range(3):
             q, last = quoted(sep), quoted(f"(?s)^(.*){B.escape(sep)}(.*)$")
@@ -175,6 +192,17 @@ NAV_MIX = """SELECT id, CASE id % 10 WHEN 0 THEN 'About us' WHEN 1 THEN concat('
   WHEN 5 THEN 'EIA' WHEN 6 THEN 'ENSO outlook' WHEN 7 THEN 'Clean Trucks Plan - EPA' ELSE title END AS t FROM """
 
 
+# every name of the table comes by with and without its semicolon, numbers of all kinds, and signs that are no references
+REFERENCES = f"""SELECT id, concat('&', n, ' a &', replace(n, ';', ''), 'b &#', CAST(id * 7 % 70000 AS VARCHAR(20)), '; &#x', CASE id % 5 WHEN 0 THEN '110000' WHEN 1 THEN '1F600' WHEN 2 THEN '80' WHEN 3 THEN 'fdd0' ELSE '0000d800' END,
+  CASE id % 2 WHEN 0 THEN ';' ELSE 'z' END, '&amp;lt; & && &; &# &#x; &#99999999999; ', title, ' &', n, title) AS raw FROM (
+  SELECT id, title, split_part('{" ".join(sorted(R.html5))}', ' ', CAST(id * 13 % {len(R.html5)} + 1 AS INT)) AS n FROM {{f}}) q"""
+
+
+@query("char_references", f"SELECT id, {unescape_sql('raw')} AS text FROM ({REFERENCES.format(f='items')}) z")
+def char_references(d):
+    return d.sql(REFERENCES.format(f="{items}")).select("id", R.unescape("raw").alias("text"))
+
+
 @query("nav_titles", f"""SELECT id, t, regexp_matches(trim(t), {quoted("(?i)^(" + "|".join(V.NAV_TITLES) + r")\s*$")}) AS nav
 FROM ({NAV_MIX} items) q""")
 def nav_titles(d):
@@ -497,12 +525,6 @@ def page_links(d):
     return listing_links(pages, LIST_RULES).select("list_id", "page_id", "no", "title", "url")
 
 
-def unescape_sql(e: str) -> str:
-    for name, ch in T.ENTITIES.items():
-        e = f"replace({e}, '{name}', {quoted(ch)})"
-    return f"replace({e}, '&amp;', '&')"
-
-
 H1_SQL = f"""SELECT page_id, {unescape_sql(squeeze_sql("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')"))} AS raw FROM pages"""
 
 
