@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as D
 
+from ..plans import fixed_values as V
 from .base import built_once, col, text_or_empty
 from .text import strip_html
 from .times import list_item_day
@@ -40,7 +41,7 @@ def headings(html: Column | str, *tags: str) -> Column:
     """Cleaned, non-generic heading texts: all of the first tag, then all of the next."""
     raw = F.concat(*[F.regexp_extract_all(text_or_empty(html), F.lit(rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}\s*>"), F.lit(1))
                      for t in tags])
-    return F.filter(F.transform(raw, lambda h: clean_page_title(unescape(strip_html(h)))),
+    return F.filter(F.transform(raw, lambda h: clean_page_title(unescape(strip_html(h)), V.PAGE_TITLE_CHARS)),
                     lambda t: t.isNotNull() & ~is_generic_title(t))
 
 
@@ -89,7 +90,7 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [["[page]", {}, 0, 0, -1]]   # [tag, attrs, first token, end token, parent]
         self.tokens = []                          # (text, owner node)
-        self.open = [0]
+        self.open, self.names = [0], {}           # open nodes, and how many of each tag
         self.feed(source)
         self.close()
         for k in self.open:
@@ -100,32 +101,21 @@ class _Page(HTMLParser):
         self.nodes.append([tag, {k: v or "" for k, v in attrs}, len(self.tokens), len(self.tokens), parent])
         if tag not in _VOID:
             self.open.append(len(self.nodes) - 1)
+            self.names[tag] = self.names.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[depth]][0] == tag:
-                for k in self.open[depth:]:
-                    self.nodes[k][3] = len(self.tokens)
-                del self.open[depth:]
+        if not self.names.get(tag):
+            return
+        while True:  # each node is closed once
+            k = self.open.pop()
+            self.nodes[k][3] = len(self.tokens)
+            self.names[self.nodes[k][0]] -= 1
+            if self.nodes[k][0] == tag:
                 return
 
     def handle_data(self, data):
         self.tokens.append((data, self.open[-1]))
 
-    def chain(self, k):
-        while k >= 0:
-            yield k
-            k = self.nodes[k][4]
-
-    def text(self, k, sep=" ", hidden=frozenset()):
-        _, _, a, b, _ = self.nodes[k]
-        parts = []
-        for data, owner in self.tokens[a:b]:
-            s = data.strip()
-            if s and owner not in hidden and self.nodes[owner][0] not in ("script", "style"):
-                parts.append(s)
-        return sep.join(parts)
-
     def below(self, outer):
         """Indexes of nodes under ``outer``: they follow it until its subtree ends."""
         members, out = {outer}, []
@@ -138,6 +128,32 @@ class _Page(HTMLParser):
         return out
 
 
+class _Texts:
+    """Visible texts of a page by sums over its tokens: the size of any node's text costs nothing, the text its own length."""
+
+    def __init__(self, page: _Page, hidden=frozenset()):
+        self.nodes, self.parts = page.nodes, []
+        self.before, self.chars = [0], [0]
+        for data, owner in page.tokens:
+            s = data.strip()
+            if s and owner not in hidden and page.nodes[owner][0] not in ("script", "style"):
+                self.parts.append(s)
+                self.chars.append(self.chars[-1] + len(s))
+            self.before.append(len(self.parts))
+
+    def _range(self, k):
+        _, _, first, end, _ = self.nodes[k]
+        return self.before[first], self.before[end]
+
+    def size(self, k, sep=" "):
+        a, b = self._range(k)
+        return self.chars[b] - self.chars[a] + len(sep) * max(0, b - a - 1)
+
+    def text(self, k, sep=" "):
+        a, b = self._range(k)
+        return sep.join(self.parts[a:b])
+
+
 def _dropped(page: _Page) -> set[int]:
     gone = set()
     for k, (tag, attrs, _, _, parent) in enumerate(page.nodes):
@@ -153,8 +169,8 @@ def _readable(source: str, title: str | None) -> str:
     gone = _dropped(page)
     alive = [k for k in range(len(page.nodes)) if k not in gone]
 
-    def text(k, sep=" "):
-        return page.text(k, sep, gone)
+    texts = _Texts(page, gone)
+    text, size = texts.text, texts.size
 
     def of_class(word):
         return [k for k in alive if word in page.nodes[k][1].get("class", "")]
@@ -162,29 +178,31 @@ def _readable(source: str, title: str | None) -> str:
     home = None
     for word in STRONG_CLASSES:
         hits = of_class(word)
-        if hits and len(text(hits[0])) >= STRONG_MIN:
+        if hits and size(hits[0]) >= STRONG_MIN:
             home = hits[0]
             break
     if home is None:
         options = [k for t in BODY_TAGS for k in alive if page.nodes[k][0] == t]
         options += [k for w in BODY_CLASSES for k in of_class(w)]
         options += [k for w in BODY_IDS for k in alive if w in page.nodes[k][1].get("id", "")]
-        best = max(options, key=lambda k: len(text(k)), default=None)
-        if best is not None and len(text(best)) >= BODY_MIN:
+        best = max(options, key=size, default=None)
+        if best is not None and size(best) >= BODY_MIN:
             home = best
         else:
             home = next((k for k in alive if page.nodes[k][0] == "body"), 0)
     below = [k for k in page.below(home) if k not in gone]
-    blocks = [b for b in (text(k) for k in below if page.nodes[k][0] in BLOCK_TAGS) if len(b) >= BLOCK_MIN]
+    blocks = [text(k) for k in below if page.nodes[k][0] in BLOCK_TAGS and size(k) >= BLOCK_MIN]
 
     def thin():
         return len(blocks) < 2 or sum(map(len, blocks)) < STRONG_MIN
 
     if thin():
         inner = {"p", "div", "li", "h1", "h2", "h3"}
-        parents = {p for k in below if page.nodes[k][0] in inner for p in page.chain(page.nodes[k][4])}
-        leaves = [b for b in (text(k) for k in below if page.nodes[k][0] == "div" and k not in parents)
-                  if len(b) >= BLOCK_MIN]
+        parents = set()  # nodes with such a tag somewhere inside: children come behind their parents
+        for k in reversed(below):
+            if page.nodes[k][0] in inner or k in parents:
+                parents.add(page.nodes[k][4])
+        leaves = [text(k) for k in below if page.nodes[k][0] == "div" and k not in parents and size(k) >= BLOCK_MIN]
         if len(leaves) > len(blocks):
             blocks = leaves
     if thin():
@@ -217,14 +235,15 @@ def time_candidates(html: pd.Series) -> pd.Series:
     0 short visible text with a clock and more than digits, 1 time tag or meta, 2 short visible text."""
     def one(source):
         page = _Page(source or "")
+        texts = _Texts(page)
         shown, tagged = [], []
         for k, (tag, attrs, *_rest) in enumerate(page.nodes):
-            if tag in _SHORT:
-                t = page.text(k)
-                if t and len(t) <= 60 and "20" in t:
+            if tag in _SHORT and 0 < texts.size(k) <= 60:
+                t = texts.text(k)
+                if "20" in t:
                     shown.append(t)
             if tag == "time":
-                tagged.append(attrs.get("datetime") or page.text(k, ""))
+                tagged.append(attrs.get("datetime") or texts.text(k, ""))
         for key, value in TIME_METAS:
             tagged += [a["content"].strip() for t, a, *_ in page.nodes
                        if t == "meta" and a.get(key) == value and a.get("content")][:1]
@@ -248,7 +267,8 @@ def source_lines(html: pd.Series) -> pd.Series:
     """Lines that may name the source organisation: known classes first, then texts starting with the label."""
     def one(source):
         page = _Page(source or "")
-        lines = [page.text(k) for w in ORG_CLASSES for k in range(len(page.nodes))
+        texts = _Texts(page)
+        lines = [texts.text(k) for w in ORG_CLASSES for k in range(len(page.nodes))
                  if w in page.nodes[k][1].get("class", "")]
         lines += [t.strip() for t, _ in page.tokens if re.match(r"(文章)?来源[:：]", t.strip())]
         return [x for x in lines if "来源" in x]

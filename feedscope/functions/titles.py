@@ -82,8 +82,8 @@ def is_nav_title(title: Column | str) -> Column:
 
 
 @built_once
-def clean_page_title(raw: Column | str) -> Column:
-    """Title of a page: one blank, no label, at most one site tail gone, 120 characters."""
+def clean_page_title(raw: Column | str, most_chars: int | None = None) -> Column:
+    """Title of a page: one blank, no label, at most one site tail gone; its first ``most_chars`` characters, by default all."""
     base = F.regexp_replace(collapse_ws(text_or_empty(raw)), r"(?i)^(?:title|标题|题名|文章标题)\s*[:：]\s*", "")
 
     def tail(t, sep):
@@ -97,7 +97,8 @@ def clean_page_title(raw: Column | str) -> Column:
         # the first separator, in list order, behind which a site name stands
         sep = F.get(F.filter(F.array(*[F.lit(x) for x in V.PAGE_TITLE_SEPARATORS]), lambda x: is_cut(t, x)), F.lit(0))
         head = F.left(t, F.char_length(t) - F.char_length(tail(t, sep)) - F.char_length(sep))
-        return F.nullif(F.substring(F.when(sep.isNotNull(), trim_ws(head)).otherwise(t), 1, 120), F.lit(""))
+        out = F.when(sep.isNotNull(), trim_ws(head)).otherwise(t)
+        return F.nullif(F.substring(out, 1, most_chars) if most_chars else out, F.lit(""))
 
     return let(base, strip)
 

@@ -126,9 +126,9 @@ def fill_topics(items: DataFrame) -> DataFrame:
                                            .otherwise(rules.topics())).drop(rules.TITLE_L, rules.TEXT_L)
 
 
-def fill_people(notes: DataFrame, force: bool = False) -> DataFrame:
-    """Find people in title, summary and body; write them where none are stored."""
-    found = rules.people("title", "summary", "body")
+def fill_people(notes: DataFrame, force: bool = False, body_chars: int | None = None) -> DataFrame:
+    """Find people in title, summary and body (or its head); write them where none are stored."""
+    found = rules.people("title", "summary", "body", body_chars=body_chars)
     none = F.coalesce(F.size("people"), F.lit(0)) == 0
     write = (F.size("_found") > 0) & (F.lit(force) | none)
     return notes.withColumn("_found", found) \
@@ -212,10 +212,11 @@ def repair_summaries(items: DataFrame) -> DataFrame:
 
 
 def refresh_bodies(notes: DataFrame, pages: DataFrame, least: int = 50) -> DataFrame:
-    """Thin notes take the page's body when that is longer.  ``pages(url, page_body)``."""
+    """Thin notes take the page's body when that is longer.  ``pages(url, page_body)``; of several pages of one URL the
+    longest body counts."""
     thin = thin_notes(notes, least)
     rest = notes.where(chars(text_or_empty("body")) >= least)
-    j = lookup_join(thin, pages.select("url", F.col("page_body").alias("_body")), ["url"])
+    j = lookup_join(thin, pages.groupBy("url").agg(F.max_by("page_body", F.struct(chars(text_or_empty("page_body")), "page_body")).alias("_body")), ["url"])
     longer = chars(text_or_empty("_body")) > chars(text_or_empty("body"))
     return j.withColumn("body", F.when(longer, F.col("_body")).otherwise(F.col("body"))).drop("_body") \
             .unionByName(rest)
@@ -241,8 +242,8 @@ def latest(notes: DataFrame, n: int = 50, tag: str | None = None, id_col: str =
     return top_n(rows, [F.col("date").desc_nulls_last(), F.col(id_col)], n)
 
 
-def catalogue_entries(notes: DataFrame, id_col: str = "id") -> DataFrame:
-    """Every note's catalogue paragraph with its newest-first position."""
+def catalogue_entries(notes: DataFrame, id_col: str = "id", summary_chars: int | None = None) -> DataFrame:
+    """Every note's catalogue paragraph, with its summary or the head of it, and its newest-first position."""
     def line(label, value, empty):
         return F.concat(F.lit(f"- {label}: "), F.coalesce(F.nullif(value, F.lit("")), F.lit(empty)))
 
@@ -259,7 +260,7 @@ def catalogue_entries(notes: DataFrame, id_col: str = "id") -> DataFrame:
         line("Title", F.col("title"), ""), line("Published", F.col("published"), "(unknown)"),
         optional("Author", F.col("author")), optional("People", F.when(F.size("people") > 0, bracketed("people"))),
         line("Tags", bracketed("tags"), ""), line("Keywords", bracketed("keywords"), ""),
-        line("Summary", F.substring("summary", 1, 150), "(none)"), line("URL", F.col("url"), ""))
+        line("Summary", F.substring("summary", 1, summary_chars) if summary_chars else F.col("summary"), "(none)"), line("URL", F.col("url"), ""))
     return ranked.select(id_col, "position", entry.alias("entry"))
 
 

@@ -301,7 +301,7 @@ ROLE_TIERS = [
     (5, ["院长", "教授", "理事长", "所长"]),
     (3, ["分析师", "首席"]),
 ]
-PEOPLE_BODY_CHARS = 2000
+PAGE_TITLE_CHARS = 120
 
 # --- fixed values: digest -------------------------------------------------------------
 DIMENSION_ICONS = {DIM_POLICY: "🏛️", DIM_INDUSTRY: "🔋", DIM_MARKET: "💰", DIM_AI: "🤖"}
@@ -491,6 +491,7 @@ NOTE_INDEX_FILES = ["政策库.md", "媒体库.md", "ai-index.md"]
 NOTE_LIBRARY_DIR = {"policy": "政策库", "media": "媒体库"}
 LINK_PREFIX_FIX = ("../../policy/../../政策库/", "../../政策库/")
 NOTE_ALLOWED_KEYS = ["source", "url", "date", "published", "tags", "keywords", "summary"]
+CATALOGUE_SUMMARY_CHARS = 150
 CATALOG_SKIPPED_TAGS = ["MOC", "政策库", "媒体库", "wiki"]
 SECTION_PRIORITY = [("/jns/gzdt/", 0), ("/jns/wjfb/", 1)]
 SECTION_DEFAULT = 2

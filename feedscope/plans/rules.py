@@ -151,11 +151,11 @@ def tags(region_col, topics_col, type_col) -> Column:
 
 
 @built_once
-def people(title, summary, body=None, pack: RulePack = RulePack()) -> Column:
-    """Known names in title, summary and the head of the body, in list order."""
+def people(title, summary, body=None, pack: RulePack = RulePack(), body_chars: int | None = None) -> Column:
+    """Known names in title, summary and body (its first ``body_chars`` characters, by default all), in list order."""
     parts = [text_or_empty(title), text_or_empty(summary)]
     if body is not None:
-        parts.append(F.substring(text_or_empty(body), 1, V.PEOPLE_BODY_CHARS))
+        parts.append(F.substring(text_or_empty(body), 1, body_chars) if body_chars else text_or_empty(body))
     text = F.concat_ws(" ", *parts)
     return F.when(text.rlike(any_of([n for n, _ in pack.people])),
                   F.array_compact(F.array(*[F.when(text.contains(n), F.lit(n)) for n, _ in pack.people]))) \

@@ -163,13 +163,13 @@ def summary_fill_report(d):
 
 
 def _title_case(d):
-    rows = d.articles().withColumn("title", F.substring("title", 1, 30))
-    index = d.articles().groupBy("url").agg(F.max(F.substring("title", 1, 100)).alias("title"))
+    rows = d.articles().withColumn("title", F.expr("left(title, CAST(char_length(title) * 2 / 3 AS INT))"))
+    index = d.articles().groupBy("url").agg(F.max("title").alias("title"))
     return rows, index
 
 
-@query("title_fill_contained", f"""WITH x AS (SELECT url, max(substring(title,1,100)) AS raw FROM articles GROUP BY url),
-a AS (SELECT id, url, substring(title,1,30) AS title FROM articles),
+@query("title_fill_contained", f"""WITH x AS (SELECT url, max(title) AS raw FROM articles GROUP BY url),
+a AS (SELECT id, url, left(title, CAST(trunc(length(title) * 2 / 3) AS INT)) AS title FROM articles),
 s AS (SELECT a.id, a.title, trim(x.raw) AS ft FROM a JOIN x USING (url)),
 n AS (SELECT *, lower(regexp_replace(title, '{SIM_NOISE}', '', 'g')) AS p, lower(regexp_replace(ft, '{SIM_NOISE}', '', 'g')) AS q FROM s)
 SELECT id, CASE WHEN length(ft) > length(title) AND p <> '' AND q <> '' AND (contains(p, q) OR contains(q, p)) THEN ft ELSE title END AS title FROM n""")

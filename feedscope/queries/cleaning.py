@@ -72,7 +72,7 @@ def time_parse(d):
     return d.sql(SPARK_TIME).select("id", "raw", TM.parse_time("raw").alias("parsed"), TM.parse_day("raw").alias("day"))
 
 
-DATE_HTML = """SELECT id, concat('<li><a href="/x">', substring(title, 1, 20), '</a>', CASE id % 5
+DATE_HTML = """SELECT id, concat('<li><a href="/x">', title, '</a>', CASE id % 5
   WHEN 0 THEN concat('<span>', day, '</span>') WHEN 1 THEN concat('<em>[', slash, ']</em>')
   WHEN 2 THEN concat(' ', day, ' ') WHEN 3 THEN concat('<span>2024-13-45</span><i class="d">', slash, '</i>')
   ELSE '' END, '</li>') AS html, CASE WHEN id % 5 <> 4 THEN day END AS want FROM (SELECT id, title, {day} AS day, {slash} AS slash FROM """
@@ -91,13 +91,13 @@ def english_dates(d):
     day = F.when(F.col("id") % 4 == 0, F.date_format("published_at", "dd MMMM yyyy")) \
            .when(F.col("id") % 4 == 1, F.date_format("published_at", "d MMM, yyyy")) \
            .when(F.col("id") % 4 == 2, F.concat(F.lit("Posted: "), F.date_format("published_at", "d MMMM yyyy"), F.lit(" by x"))) \
-           .otherwise(F.concat(F.lit("31 Foo 2024 "), F.substring("title", 1, 5)))
+           .otherwise(F.concat(F.lit("31 Foo 2024 "), "title"))
     return d.articles().select("id", TM.english_day(day).alias("day"))
 
 
 PUB_FORMS = """SELECT id, CASE id % 7 WHEN 0 THEN {iso} || 'Z' WHEN 1 THEN {iso} || '+02:00'
   WHEN 2 THEN {iso} WHEN 3 THEN '发布时间：' || {cn} || ' ' || {hm} || ' 来源' WHEN 4 THEN '日期: ' || {day}
-  WHEN 5 THEN '编辑 ' || {slash} || ' ' || {hm} ELSE substring(title, 1, 30) END AS raw, published_at AS t FROM """
+  WHEN 5 THEN '编辑 ' || {slash} || ' ' || {hm} ELSE title END AS raw, published_at AS t FROM """
 SPARK_PUB = PUB_FORMS.format(iso="date_format(published_at, \"yyyy-MM-dd'T'HH:mm:ss\")", cn="date_format(published_at, 'yyyy年M月d日')",
                              hm="date_format(published_at, 'H:mm')", day="date_format(published_at, 'yyyy.MM.dd')",
                              slash="date_format(published_at, 'yyyy/MM/dd')") + "{articles}"
@@ -230,7 +230,7 @@ def _page_title_sql(source: str = f"{PAGE_MIX} items", key: str = "id") -> str:
 
 @query("page_title_clean", _page_title_sql())
 def page_title_clean(d):
-    return d.sql(PAGE_MIX + "{items}").select("id", T.clean_page_title("raw").alias("title"))
+    return d.sql(PAGE_MIX + "{items}").select("id", T.clean_page_title("raw", V.PAGE_TITLE_CHARS).alias("title"))
 
 
 @query("generic_titles", f"""SELECT id, raw, regexp_matches(trim(raw), {quoted("(?i)" + V.GENERIC_TITLES)}) AS generic
@@ -243,16 +243,17 @@ SIM_NOISE = r"""[\s\x{a0}\x{3000}\-—–|｜_【】\[\]（）()《》〈〉<>
 
 
 @query("title_containment", f"""WITH q AS (SELECT id, lower(regexp_replace(title, '{SIM_NOISE}', '', 'g')) AS a,
-  lower(regexp_replace(substring(summary, 1, 80), '{SIM_NOISE}', '', 'g')) AS b FROM articles)
+  lower(regexp_replace(CASE id % 3 WHEN 0 THEN summary WHEN 1 THEN reverse(title) ELSE concat('- ', title, ' zq') END, '{SIM_NOISE}', '', 'g')) AS b FROM articles)
 SELECT id, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) AS contained FROM q""")
 def title_containment(d):
-    return d.articles().select("id", T.is_contained("title", F.substring("summary", 1, 80)).alias("contained"))
+    other = F.expr("CASE id % 3 WHEN 0 THEN summary WHEN 1 THEN reverse(title) ELSE concat('- ', title, ' zq') END")
+    return d.articles().select("id", T.is_contained("title", other).alias("contained"))
 
 
 @query("title_similarity")
 def title_similarity(d):
     """Ratio of a title and the same title cut short or with another phrase."""
-    other = F.when(F.col("id") % 2 == 0, F.substring("title", 5, 60)).otherwise(F.concat(F.lit("X"), F.substring("title", 9, 200)))
+    other = F.expr("CASE WHEN id % 2 = 0 THEN substring(title, 5) ELSE concat('X', substring(title, 9)) END")
     return d.items().select("id", F.round(T.title_similarity("title", other), 9).alias("similarity"))
 
 
@@ -278,10 +279,10 @@ def error_pages(d):
 
 
 @query("source_orgs", f"""SELECT id, nullif(trim(regexp_extract(t, {quoted(V.SOURCE_ORG)}, 1), '：:，,。 '), '') AS org FROM (
-  SELECT id, CASE id % 4 WHEN 0 THEN concat(title, ' 来源：', substring(summary, 1, 40)) WHEN 1 THEN concat('文章来源: ', title)
+  SELECT id, CASE id % 4 WHEN 0 THEN concat(title, ' 来源：', summary) WHEN 1 THEN concat('文章来源: ', title)
   WHEN 2 THEN '来源：' ELSE title END AS t FROM items) q""")
 def source_orgs(d):
-    t = F.expr("CASE id % 4 WHEN 0 THEN concat(title, ' 来源：', substring(summary, 1, 40)) WHEN 1 THEN concat('文章来源: ', title) "
+    t = F.expr("CASE id % 4 WHEN 0 THEN concat(title, ' 来源：', summary) WHEN 1 THEN concat('文章来源: ', title) "
                "WHEN 2 THEN '来源：' ELSE title END")
     return d.items().select("id", X.source_org(t).alias("org"))
 
@@ -401,8 +402,8 @@ def display_titles(d):
     return d.items().select("id", T.display_title("title", zh).alias("shown"))
 
 
-MARKED = """SELECT id, CASE id % 5 WHEN 0 THEN concat(substring(s,1,60), ' 本`文@内-容-来-自；中^国_碳0排0放^交-易=网 ta n pa i fa ng . co m ', substring(s,61,60))
-  WHEN 1 THEN concat(substring(s,1,60), '禸嫆@唻洎：狆國 τāńｐāīｆāńɡ.ｃōｍ') WHEN 2 THEN concat(substring(s,1,60), '  本/文-内.容.来.自')
+MARKED = """SELECT id, CASE id % 5 WHEN 0 THEN concat(left(s,60), ' 本`文@内-容-来-自；中^国_碳0排0放^交-易=网 ta n pa i fa ng . co m ', substring(s,61))
+  WHEN 1 THEN concat(s, '禸嫆@唻洎：狆國 τāńｐāīｆāńɡ.ｃōｍ') WHEN 2 THEN concat(s, '  本/文-内.容.来.自')
   WHEN 3 THEN concat(s, '  ') ELSE s END AS line FROM (SELECT id, replace(summary, chr(10), ' ') AS s FROM {f}) q"""
 _WM = [p.replace("'", "''") for p in V.WATERMARKS]
 
@@ -456,12 +457,12 @@ def paragraph_reflow(d):
     return d.table("documents").select("doc_id", X.reflow("text").alias("text"))
 
 
-FRONT_LINES = """SELECT id, CASE id % 6 WHEN 0 THEN concat('tags: [', chr(39), site_id, chr(39), ', "b", c', chr(39), 'd, ]') WHEN 1 THEN concat('summary: "', replace(substring(title,1,40), '"', ''), ' "x" y""')
+FRONT_LINES = """SELECT id, CASE id % 6 WHEN 0 THEN concat('tags: [', chr(39), site_id, chr(39), ', "b", c', chr(39), 'd, ]') WHEN 1 THEN concat('summary: "', replace(title, '"', ''), ' "x" y""')
   WHEN 2 THEN concat('stray: ', title) WHEN 3 THEN concat('keywords: [', site_id, ', "', chr(39), 'q', chr(39), '"]') WHEN 4 THEN concat('url: ', url) ELSE concat('plain ', title) END AS line FROM """
 
 
 @query("frontmatter_tidy", f"""SELECT id, CASE id % 6 WHEN 0 THEN concat('tags: [''', site_id, ''', ''b'', ''c''''d'']')
-  WHEN 1 THEN concat('summary: "', replace(substring(title,1,40), '"', ''), ' ''x'' y''"') WHEN 2 THEN NULL
+  WHEN 1 THEN concat('summary: "', replace(title, '"', ''), ' ''x'' y''"') WHEN 2 THEN NULL
   WHEN 3 THEN concat('keywords: [''', site_id, ''', ''q'']') WHEN 4 THEN concat('url: ', url) ELSE concat('plain ', title) END AS line FROM items""")
 def frontmatter_tidy(d):
     return d.sql(FRONT_LINES + "{items}").select("id", X.tidy_frontmatter_line("line").alias("line"))
@@ -474,17 +475,17 @@ def keyword_lists(d):
     return d.classified().select("id", F.array_join(X.keyword_list("topics", "title"), ",").alias("keywords"))
 
 
-QUERY_FORMS = """SELECT id, concat('site:', site_id, '.org ', CASE id % 4 WHEN 0 THEN concat('(climate OR "', substring(title,1,6), '" OR solar) when:7d')
+QUERY_FORMS = """SELECT id, concat('site:', site_id, '.org ', CASE id % 4 WHEN 0 THEN concat('(climate OR "', regexp_replace(title, '["()]', ''{g}), '" OR solar) when:7d')
   WHEN 1 THEN 'wind OR green energy when:14d' WHEN 2 THEN 'methane when:7d' ELSE '(a OR b)' END) AS query FROM """
 
 
-@query("query_expand", f"""WITH q AS ({QUERY_FORMS} articles), w AS (SELECT id, query, regexp_extract(query, '(when:[0-9]+d)$', 1) AS w,
+@query("query_expand", f"""WITH q AS ({QUERY_FORMS.replace('{g}', ", 'g'")} articles), w AS (SELECT id, query, regexp_extract(query, '(when:[0-9]+d)$', 1) AS w,
   split_part(query, ' ', 1) AS site, trim(regexp_replace(regexp_replace(query, 'when:[0-9]+d$', ''), '^site:[^ ]+ ', '')) AS body FROM q),
 p AS (SELECT id, query, w, site, unnest(string_split(trim(body, '()'), ' OR ')) AS part FROM w WHERE contains(query, ' OR '))
 SELECT id, trim(concat(site, ' ', trim(part), ' ', w)) AS query FROM p UNION ALL SELECT id, query FROM q WHERE NOT contains(query, ' OR ')""")
 def query_expand(d):
     from ..sources.payloads import expand_queries
-    return expand_queries(d.sql(QUERY_FORMS + "{articles}")).select("id", "query")
+    return expand_queries(d.sql(QUERY_FORMS.replace("{g}", "") + "{articles}")).select("id", "query")
 
 
 @query("adjacent_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-from ..functions.pages import article_text_fast
+from ..functions import pages as P, text as X
 from ..functions.times import local_minute_text
 from ..plans import corpus as C, fixed_values as V, rules, score as scoring
 from ..plans.note_names import item_path
 from ..sources import payloads, sinks
 from .base import SITE_COUNT, SITE_IDS, query, run_folder
-from .cleaning import BODY_SQL, NAV_MIX
+from .cleaning import NAV_MIX
 from .classification import TYPE_SQL
 
 
@@ -265,7 +264,7 @@ def note_injection(d):
 
 
 @query("people_fill", NOTE_CTE + """ SELECT id, array_to_string(people, ',') AS people FROM (SELECT n.id, list_filter([""" +
-       ", ".join(f"CASE WHEN contains(concat_ws(' ', title, summary, substring(coalesce(nbody,''),1,2000)), '{n}') THEN '{n}' END" for n, _ in V.PEOPLE) +
+       ", ".join(f"CASE WHEN contains(concat_ws(' ', title, summary, coalesce(nbody,'')), '{n}') THEN '{n}' END" for n, _ in V.PEOPLE) +
        """], lambda v: v IS NOT NULL) AS people FROM n) q""")
 def people_fill(d):
     rows = _note_rows(d).withColumn("people", F.array().cast("array<string>"))
@@ -281,27 +280,34 @@ def note_finish(d):
     return C.finish(rows).select("id", "published", "link_only")
 
 
-@query("title_upgrade", r"""WITH nt AS (SELECT id, site_id AS folder, url, substring(title, 1, 25) AS title, concat(CASE WHEN id % 2 = 0 THEN '2024-01-05 ' ELSE '' END, 'note ', id % 300) AS file_name FROM items),
+@query("title_upgrade", r"""WITH nt AS (SELECT id, site_id AS folder, url, CASE WHEN id % 3 = 0 THEN concat('T ', id) ELSE title END AS title, concat(CASE WHEN id % 2 = 0 THEN '2024-01-05 ' ELSE '' END, 'note ', id % 300) AS file_name FROM items),
 pg AS (SELECT url, max(title) AS page FROM items GROUP BY url),
-j AS (SELECT nt.*, page, length(page) > length(nt.title) OR contains(nt.title, page) AS take FROM nt LEFT JOIN pg USING (url)),
+j AS (SELECT nt.*, page, (length(nt.title) < 30 OR (regexp_matches(nt.title, '(网|官网|委员会|政府|部|中心|门户)$') AND length(nt.title) < 60)) AND (length(page) > length(nt.title) OR contains(nt.title, page)) AS take FROM nt LEFT JOIN pg USING (url)),
 w AS (SELECT *, CASE WHEN take THEN concat(CASE WHEN id % 2 = 0 THEN '2024-01-05 ' ELSE '' END, trim(substring(regexp_replace(page, '[<>:"/\\|?*]', '_', 'g'), 1, 80))) ELSE file_name END AS want FROM j),
 c AS (SELECT folder, want, min(id) AS winner FROM w WHERE want <> file_name GROUP BY 1, 2)
 SELECT w.id, CASE WHEN take THEN page ELSE title END AS title, CASE WHEN want <> w.file_name AND winner = w.id AND t.file_name IS NULL THEN want ELSE w.file_name END AS new_name
 FROM w LEFT JOIN c USING (folder, want) LEFT JOIN (SELECT DISTINCT folder, file_name FROM nt) t ON t.folder = w.folder AND t.file_name = w.want""")
 def title_upgrade(d):
     name = F.concat(F.when(F.col("id") % 2 == 0, "2024-01-05 ").otherwise(""), F.lit("note "), (F.col("id") % 300).cast("string"))
-    notes = d.items().select("id", F.col("site_id").alias("folder"), "url", F.substring("title", 1, 25).alias("title"), name.alias("file_name"))
+    notes = d.items().select("id", F.col("site_id").alias("folder"), "url", F.expr("CASE WHEN id % 3 = 0 THEN concat('T ', id) ELSE title END").alias("title"), name.alias("file_name"))
     pages = d.items().groupBy("url").agg(F.max("title").alias("page_title"))
     return C.upgrade_titles(notes, pages).select("id", "title", "new_name")
 
 
-@query("body_refresh", f"""WITH pg AS ({BODY_SQL}) SELECT id, length(CASE WHEN id % 100 < 50 AND length(coalesce(pg.body,'')) > length(nb) THEN pg.body ELSE nb END) AS chars
-FROM (SELECT id, substring(body, 1, CAST(id % 100 AS INT)) AS nb FROM articles) q LEFT JOIN pg ON page_id = id""")
+@query("body_refresh", f"""WITH l AS (SELECT id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines,
+  CASE id % 3 WHEN 0 THEN concat('thin ', id) WHEN 1 THEN '' ELSE text END AS nb FROM (SELECT id, body AS text FROM articles) q),
+b AS (SELECT *, list_filter(lines, lambda x: length(x) >= {P.BLOCK_MIN}) AS blocks FROM l),
+t AS (SELECT *, len(blocks) < 2 OR list_sum(list_transform(blocks, lambda x: length(x))) < {P.STRONG_MIN} AS thin, array_to_string(lines, chr(10) || chr(10)) AS whole FROM b),
+p AS (SELECT id, nb, CASE WHEN thin AND length(whole) >= {P.BLOCK_MIN} THEN whole ELSE array_to_string(list_filter(blocks, lambda x, i: i = 1 OR x <> blocks[i - 1]), chr(10) || chr(10)) END AS page FROM t)
+SELECT id, CASE WHEN length(nb) < 50 AND length(coalesce(page, '')) > length(nb) THEN page ELSE nb END AS body FROM p""")
 def body_refresh(d):
-    """Thin notes take the body of the landed page with the same number."""
-    notes = d.articles().select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("url"), F.substring("body", 1, (F.col("id") % 100).cast("int")).alias("body"))
-    pages = d.table("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("url"), article_text_fast("html").alias("page_body"))
-    return C.refresh_bodies(notes, pages).select("id", F.char_length("body").cast("long").alias("chars"))
+    """Thin notes take the readable body of the page with their URL."""
+    a = d.articles().withColumn("url", F.concat("url", F.lit("#"), F.col("id").cast("string")))
+    notes = a.select("id", "url", F.expr("CASE id % 3 WHEN 0 THEN concat('thin ', id) WHEN 1 THEN '' ELSE body END").alias("body"))
+    escaped = F.replace(F.replace(F.col("body"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<html><body><nav><li>A menu that is long enough</li></nav><article><p>"), F.replace(escaped, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p></article></body></html>"))
+    pages = a.select("url", html.alias("html")).select("url", P.readable_text("html", F.lit(None).cast("string")).alias("page_body"))
+    return C.refresh_bodies(notes, pages).select("id", "body")
 
 
 @query("dead_authors", """WITH g AS (SELECT DISTINCT url FROM items WHERE id % 5 = 0) SELECT id, CASE WHEN id % 3 = 0 AND url IN (SELECT url FROM g) THEN NULL WHEN id % 3 = 0 THEN '无' ELSE lang END AS author FROM items""")
@@ -334,7 +340,7 @@ SELECT id, row_number() OVER (ORDER BY dt DESC NULLS LAST, id) AS position, conc
   '- Tags: [', array_to_string(tags, ', '), ']', chr(10), '- Keywords: [', array_to_string(keywords, ', '), ']', chr(10), '- Summary: ', CASE WHEN summary = '' THEN '(none)' ELSE substring(summary, 1, 150) END, chr(10), '- URL: ', url) AS entry FROM o""")
 def catalogue_entries(d):
     rows = _notes(d).withColumn("date", F.date_format("published_at", "yyyy-MM-dd")).withColumn("source", F.col("site_name"))
-    return C.catalogue_entries(rows)
+    return C.catalogue_entries(rows, summary_chars=V.CATALOGUE_SUMMARY_CHARS)
 
 
 @query("catalogue_topics", """WITH e AS (SELECT id, strftime(published_at, '%Y-%m-%d') AS date, unnest(topics) AS tag FROM classified), r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY date DESC NULLS LAST, id) AS place, count(*) OVER (PARTITION BY tag) AS n FROM e)

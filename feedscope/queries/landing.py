@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import payloads as P
 from ..streaming import ingest
 from .base import AS_OF_SQL, query, run_folder
-from .cleaning import KEY_SQL
+from .cleaning import KEY_SQL, squeeze_sql
 
 
 @query("payload_items", "SELECT id, title, url, CASE WHEN id % 2 = 0 THEN published_at END AS published_at FROM articles")
@@ -93,17 +93,23 @@ def publisher_filter(d):
     return P.ends_with_publisher(d.articles().withColumn("title", t), "reuters").select("id")
 
 
-@query("microdata_posts", """SELECT concat('', id) AS post_id, concat('@', site_id) AS source, concat('https://x.com/', CASE WHEN id % 2 = 0 THEN concat('h', id) ELSE site_id END, '/status/', id) AS url, published_at FROM articles WHERE id % 9 <> 0""")
+@query("microdata_posts", f"""WITH p AS (SELECT id, site_id, published_at, {squeeze_sql("concat('P ', regexp_replace(title, '[\"<>&]', '', 'g'))")} AS t FROM articles WHERE id % 9 <> 0)
+SELECT concat('', id) AS post_id, concat('@', site_id) AS source, CASE WHEN id % 2 = 0 THEN concat('h', id) ELSE site_id END AS handle, t AS title, t AS summary,
+  concat('https://x.com/', CASE WHEN id % 2 = 0 THEN concat('h', id) ELSE site_id END, '/status/', id) AS url, published_at,
+  CAST(row_number() OVER (PARTITION BY site_id, id % 4 ORDER BY published_at DESC NULLS LAST, id) AS INT) AS position FROM p""")
 def microdata_posts(d):
-    """Account pages with posts in page markup, some without text or handle."""
+    """Account pages with many posts in page markup, some without text, handle or time; newest first."""
     def meta(name, value):
         return F.concat(F.lit(f'<meta itemprop="{name}" content="'), F.coalesce(value, F.lit("")), F.lit('">'))
     author = F.when(F.col("id") % 2 == 0, F.concat(F.lit('<div itemprop="author">'), meta("alternateName", F.concat(F.lit("h"), F.col("id").cast("string"))), F.lit("</div>"))).otherwise("")
     post = F.concat(F.lit('<article itemscope itemtype="https://schema.org/SocialMediaPosting">'), meta("identifier", F.col("id").cast("string")), author,
                     meta("datePublished", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
                     F.when(F.col("id") % 9 != 0, meta("text", F.concat(F.lit("P "), F.regexp_replace("title", "[\"<>&]", "")))).otherwise(""), F.lit("</article>"))
-    pages = d.articles().select(F.col("site_id").alias("handle"), F.concat(F.lit("<html><body>"), post, F.lit("</body></html>")).alias("html"))
-    return P.post_items(pages).select("post_id", "source", "url", "published_at")
+    # four pages an account
+    pages = d.articles().groupBy(F.col("site_id").alias("handle"), (F.col("id") % 4).alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("id", post.alias("post")))).alias("posts"))
+    html = F.concat(F.lit("<html><body>"), F.array_join(F.transform("posts", lambda p: p["post"]), ""), F.lit("</body></html>"))
+    return P.post_items(pages.select("handle", html.alias("html"))).drop("site_id")
 
 
 # ---------------------------------------------------------------- streams over the same tables
