@@ -82,8 +82,8 @@ def pack(items: DataFrame, order: list[Column | str], capacity: int = CAPACITY,
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
     Rows are dealt by a hash of ``order``, about ``group`` to a task, so the bins left open at the ends of tasks stay a
-    small share of all.  Inside a task rows arrive in hash order, which makes a rerun give the same bins.  The smallest
-    pieces, enough to fill the open bins, come last.  Sequence numbers are unique, not consecutive.
+    small share of all.  Inside a task rows go to the bins one after the other in hash order, which makes a rerun give the
+    same bins.  Sequence numbers are unique, not consecutive.
     """
     items = C.table(items)
     tasks = max(1, -(-items.count() // group))
@@ -99,28 +99,14 @@ def pack(items: DataFrame, order: list[Column | str], capacity: int = CAPACITY,
         t = pa.Table.from_batches(rows).drop_columns(["_mix"])
         sizes = t.column("length").to_numpy()
         bins, place = OpenBins(capacity, open_bins), np.empty((len(sizes), 2), np.int64)
-        for i in arrival(sizes, capacity, open_bins).tolist():
-            place[i] = bins.put(int(sizes[i]))
+        for i, size in enumerate(sizes.tolist()):
+            place[i] = bins.put(size)
         base = np.int64(TaskContext.get().partitionId()) << np.int64(36)
         t = t.append_column("sequence_id", pa.array(place[:, 0] + base)).append_column("offset", pa.array(place[:, 1]))
         yield from t.to_batches(C.BATCH_ROWS * 10)
     return dealt.mapInArrow(run, schema)
 
 
-def arrival(sizes: np.ndarray, capacity: int, open_bins: int) -> np.ndarray:
-    """The given order, with the smallest pieces held back for the end, largest of them first.
-
-    Held back is as much as the open bins can take, at most half of all.
-    """
-    by_size = np.argsort(sizes, kind="stable")
-    total = np.cumsum(sizes[by_size])
-    held = int(np.searchsorted(total, min(open_bins * capacity // 3, int(total[-1]) // 2)))
-    last = by_size[:held][::-1]
-    early = np.ones(len(sizes), bool)
-    early[last] = False
-    return np.concatenate([np.flatnonzero(early), last])
-
-
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
                    open_bins: int = OPEN_BINS) -> DataFrame:
     """Pieces of all documents with their places.  Null text counts as empty: one piece, the end id.

@@ -67,4 +67,5 @@ QUERIES = {f.__name__: f for f in (
     op6_line_dedup, op7_token_shards, op8_embedding_dedup, op9_page_text, op10_bpe, op11_quality_rules,
     op12_fill_in_middle, op13_token_alignment)}
 
-ORACLES: dict[str, str] = {"op12_fill_in_middle": infill.ORACLE}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring.ORACLE, "op8_embedding_dedup": vectors.ORACLE,
+                           "op12_fill_in_middle": infill.ORACLE}

@@ -158,3 +158,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         return pa.RecordBatch.from_arrays([batch.column("_all"), pa.array(kept, pa.string())], names=["_all", "kept"])
     schema = StructType([joined.schema["_all"], StructField("kept", StringType())])
     return C.unfolded(C.by_arrow(joined, cut, schema), docs, F.col("kept"))
+
+
+#: DuckDB twin of the query: every window as text, its first document, and the words that later copies cover.
+ORACLE = r"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT k, doc_id, i, array_to_string(words[i:i + 49], ' ') AS run FROM (SELECT k, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50) q),
+f AS (SELECT run, min(doc_id) AS first FROM s GROUP BY run HAVING count(*) > 1),
+c AS (SELECT DISTINCT k, unnest(range(i, i + 50)) AS j FROM s JOIN f USING (run) WHERE first < doc_id),
+g AS (SELECT k, list(j) AS gone FROM c GROUP BY k)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ') ELSE array_to_string(list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
+FROM w LEFT JOIN g USING (k)
+"""

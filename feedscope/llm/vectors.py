@@ -169,12 +169,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
              pa.array(np.r_[errors, np.zeros(len(row))].astype(np.float64))],
             names=["list", "is_query", "rid", "vec", "code", "err"])
     entries = C.table(C.by_arrow(good, assign, "list int, is_query boolean, rid long, vec binary, code binary, err double"))
-    # one pair of counts a list, at most MOST_LISTS, reaches the driver
-    counts = entries.groupBy("list").agg(F.count_if("is_query").alias("q"), F.count_if(~F.col("is_query")).alias("d")).collect()
-    blocks = F.create_map(*[F.lit(v) for r in counts
-                            for v in (r["list"], max(1, -(-r["q"] // block)) * 65536 + max(1, -(-r["d"] // block)))])
-    both = entries.withColumn("_b", F.element_at(blocks, F.col("list"))) \
-                  .withColumn("_q", F.floor(F.col("_b") / 65536).cast("int")).withColumn("_d", (F.col("_b") % 65536).cast("int"))
+    # blocks of queries and of rows in each list: one small row a list
+    sizes = C.table(entries.groupBy("list").agg(*[F.greatest(F.ceil(F.count_if(side) / block), F.lit(1)).cast("int").alias(name)
+                                                  for name, side in (("_q", F.col("is_query")), ("_d", ~F.col("is_query")))]))
+    both = entries.join(sizes, "list")
     own = F.pmod(F.xxhash64("rid"), F.when(F.col("is_query"), F.col("_q")).otherwise(F.col("_d"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("_d")).otherwise(F.col("_q")) - 1))
     cells = both.withColumn("_own", own).withColumn("_other", other) \
@@ -192,3 +190,15 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return named.join(smallest, "component").select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id",
         F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+#: DuckDB twin of the query: all pairs in double precision, groups by walking the links.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT vec_id, x FROM v
+  WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) c USING (vec_id)
+"""

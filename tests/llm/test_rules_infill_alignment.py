@@ -251,3 +251,39 @@ def test_fast_byte_encoder_equals_the_library(libraries):
     for block in range(0, 0x110000, 0x400 * 5):
         text = "".join(f"x{chr(c)}y {chr(c)}1{chr(c)}\n" for c in range(block, block + 0x400) if not 0xD800 <= c < 0xE000)
         assert side.encode([text])[0].tolist() == libraries[0].encode(text, add_special_tokens=False).ids
+
+
+# ------------------------------------------------------------------ twins and packing of earlier operators
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op8_embedding_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, FOLDER)
+    want = con.sql(queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_packing_is_plain_online_best_fit(spark):
+    """One task's pieces in hash order against a loop over all open bins."""
+    from feedscope.llm import packing
+    rng = random.Random(8)
+    sizes = [rng.choice([2048, rng.randrange(1, 2049), rng.randrange(1, 300)]) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "n long, length long")
+    arrival = [r.length for r in rows.withColumn("_m", F.xxhash64("n")).orderBy("_m", "n").collect()]
+    free, made = [], 0
+    for size in arrival:
+        fits = [f for f in free if f >= size]
+        if fits:
+            free.remove(min(fits))
+            rest = min(fits) - size
+        else:
+            if len(free) >= packing.OPEN_BINS:
+                free.remove(min(free))
+            made, rest = made + 1, packing.CAPACITY - size
+        if rest:
+            free.append(rest)
+    packed = packing.pack(rows, ["n"])
+    assert packed.select("sequence_id").distinct().count() == made
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("s")).where(f"s > {packing.CAPACITY}").count() == 0
