@@ -97,17 +97,18 @@ def _windows(docs: DataFrame, extents: DataFrame, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, _row, lo, hi: rows of windows [lo, hi] that also start in a document with a smaller doc_id."""
     found = C.table(anchors(docs, window, seed))
+    # aggregates are written before they are joined: a join of two plain inputs can split an anchor with very many places
     known = found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"),
                                         (F.min("kind") < F.max("kind")).alias("mixed"))
-    shared = C.table(found.join(known.where("_a < _b").select("anchor", "mixed"), "anchor"))
-    firsts = shared.groupBy("anchor", "kind").agg(F.min("doc_id").alias("first"))
+    shared = C.table(found.join(C.table(known.where("_a < _b").select("anchor", "mixed")), "anchor"))
+    firsts = C.table(shared.groupBy("anchor", "kind").agg(F.min("doc_id").alias("first")))
     judged = shared.join(firsts, ["anchor", "kind"])
     whole = judged.where("first < doc_id").select("doc_id", "_row", "lo", "hi")
     open_ = judged.where("first = doc_id and mixed").select("doc_id", "_row", "anchor", "place", "lo", "hi")
     windows = C.table(_windows(docs, open_, window))
     same = ["anchor", "offset", "words"]
-    early = windows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")) \
-                   .where("first < last").drop("last")
+    early = C.table(windows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                    .where("first < last").drop("last"))
     part = windows.join(early, same).where("first < doc_id") \
                   .select("doc_id", "_row", F.col("start").alias("lo"), F.col("start").alias("hi"))
     return whole.unionByName(part)
