@@ -1,7 +1,9 @@
 """Embedding near-dedup: coarse inverted lists, product-quantised residuals, table-lookup distances, exact rerank.
 
 Every vector is in the list of its nearest centre, with the codes of its residual.  As a query it probes each list whose
-region comes within a slack of it, measured to the plane half-way to the nearest centre.  Lists and their queries are cut
+region comes within a slack of it, measured to the plane half-way to the nearest centre.  Of two vectors on both sides of
+such a plane the nearer one has at most half their distance across it, so it is enough that one of the two probes the
+other's list: the slack is half of what one side alone would need.  A pair that only one side finds counts for both.  Lists and their queries are cut
 into blocks, and a task compares one block with one block: asymmetric distances from tables of the query's subspaces drop
 what is surely too far (a code's own error is known), and the rest is decided by the exact cosine in double precision.
 A block pair returns a count per query and the edges of its connected parts, never its pairs.
@@ -99,9 +101,10 @@ def _compare(index: Index, cosine: float, radius: float, cell: pd.DataFrame) ->
     empty = pd.DataFrame({"rid": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "peer": pd.Series(dtype="int64")})
     if not len(q) or not len(d):
         return empty
+    own = int(cell.list.iloc[0])
     x, y = _units(q.vec.tolist()), _units(d.vec.tolist())
     codes = np.frombuffer(b"".join(d.code), np.uint8).reshape(len(d), -1)
-    maybe = index.close(x.astype(np.float32), int(cell.list.iloc[0]), codes, d.err.to_numpy(np.float32), radius)
+    maybe = index.close(x.astype(np.float32), own, codes, d.err.to_numpy(np.float32), radius)
     i, j = np.nonzero(maybe)
     exact = np.concatenate([np.einsum("ij,ij->i", x[i[k:k + 65536]], y[j[k:k + 65536]])
                             for k in range(0, len(i), 65536)] or [np.zeros(0)])
@@ -111,6 +114,12 @@ def _compare(index: Index, cosine: float, radius: float, cell: pd.DataFrame) ->
     if not len(i):
         return empty
     n = np.bincount(i, minlength=len(q))
+    # the other side finds the pair by itself if it is in the same list or probes the query's
+    homes, base = q.home.to_numpy(np.int64), np.int64(len(index.centres))
+    reach = [np.frombuffer(r, "<i4") for r in d.reach]
+    seeks = np.repeat(np.arange(len(d)), [len(r) for r in reach]) * base + np.concatenate(reach)
+    alone = (homes[i] != own) & ~np.isin(j * base + homes[i], seeks)
+    m = np.bincount(j[alone], minlength=len(d))
     a, b = qid.copy(), did.copy()  # the smallest id met through links of this cell
     while True:
         before = a.copy(), b.copy()
@@ -119,7 +128,7 @@ def _compare(index: Index, cosine: float, radius: float, cell: pd.DataFrame) ->
         if (a == before[0]).all() and (b == before[1]).all():
             break
     on, there = n > 0, np.bincount(j, minlength=len(d)) > 0
-    return pd.DataFrame({"rid": np.r_[qid[on], did[there]], "n": np.r_[n[on], np.zeros(there.sum(), np.int64)],
+    return pd.DataFrame({"rid": np.r_[qid[on], did[there]], "n": np.r_[n[on], m[there]],
                          "peer": np.r_[a[on], b[there]]})
 
 
@@ -129,7 +138,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     Vectors that are null, zero, or hold null or non-finite components, or have another length than most, link with
     nothing.  Rows with one id are vectors of their own.  The index is fitted on at most ``fit_rows`` vectors, the least by
-    a hash; every vector is in it.  Slack of probing: the linking distance times 4 / sqrt(dimensions), or all of it.
+    a hash; every vector is in it.  Slack of probing: half of the linking distance times 4 / sqrt(dimensions), or of all of
+    it; a pair is missed only if it lies further across a plane than four deviations of a random direction.  Other columns
+    are not read.
     """
     spark = C.prepare(rows.sparkSession)
     as_double = F.transform(F.col(vector_col), lambda v: v.cast("double"))
@@ -149,7 +160,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     sample = sample / np.sqrt((sample ** 2).sum(1))[:, None]
     index = spark.sparkContext.broadcast(Index(sample, min(MOST_LISTS, many // list_rows)))
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
-    slack = radius * min(1.0, 4 / math.sqrt(dims))
+    slack = radius * min(1.0, 4 / math.sqrt(dims)) / 2
 
     def assign(batch: pa.RecordBatch):
         n = batch.num_rows
@@ -161,14 +172,18 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         at, codes, errors = index.value.encode(unit)
         row, lists = index.value.probes(unit, slack)
         take = np.r_[np.arange(n), row]
+        ends = np.searchsorted(row, np.arange(n + 1)).tolist()
+        reach, low = lists.astype("<i4").tobytes(), ends[:-1]
         raw = [v.tobytes() for v in x.astype("<f8")]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[at, lists].astype(np.int32)), pa.array(np.r_[np.zeros(n, bool), np.ones(len(row), bool)]),
              batch.column("rid").take(pa.array(take)), pa.array([raw[k] for k in take], pa.binary()),
              pa.array([c.tobytes() for c in codes] + [None] * len(row), pa.binary()),
-             pa.array(np.r_[errors, np.zeros(len(row))].astype(np.float64))],
-            names=["list", "is_query", "rid", "vec", "code", "err"])
-    entries = C.table(C.by_arrow(good, assign, "list int, is_query boolean, rid long, vec binary, code binary, err double"))
+             pa.array(np.r_[errors, np.zeros(len(row))].astype(np.float64)), pa.array(at[take].astype(np.int32)),
+             pa.array([reach[a * 4:b * 4] for a, b in zip(low, ends[1:])] + [None] * len(row), pa.binary())],
+            names=["list", "is_query", "rid", "vec", "code", "err", "home", "reach"])
+    entries = C.table(C.by_arrow(good, assign, "list int, is_query boolean, rid long, vec binary, code binary, err double, "
+                                               "home int, reach binary"))
     # blocks of queries and of rows in each list: one small row a list
     sizes = C.table(entries.groupBy("list").agg(*[F.greatest(F.ceil(F.count_if(side) / block), F.lit(1)).cast("int").alias(name)
                                                   for name, side in (("_q", F.col("is_query")), ("_d", ~F.col("is_query")))]))
@@ -178,7 +193,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     cells = both.withColumn("_own", own).withColumn("_other", other) \
         .withColumn("qb", F.when(F.col("is_query"), F.col("_own")).otherwise(F.col("_other"))) \
         .withColumn("db", F.when(F.col("is_query"), F.col("_other")).otherwise(F.col("_own"))) \
-        .select("list", "qb", "db", "is_query", "rid", "vec", "code", "err")
+        .select("list", "qb", "db", "is_query", "rid", "vec", "code", "err", "home", "reach")
     found = C.table(cells.groupBy("list", "qb", "db").applyInPandas(
         lambda cell: _compare(index.value, cosine, radius, cell), "rid long, n long, peer long"))
     links = found.groupBy("rid").agg(F.sum("n").alias("n"))

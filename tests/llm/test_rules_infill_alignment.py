@@ -287,3 +287,24 @@ def test_packing_is_plain_online_best_fit(spark):
     packed = packing.pack(rows, ["n"])
     assert packed.select("sequence_id").distinct().count() == made
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("s")).where(f"s > {packing.CAPACITY}").count() == 0
+
+
+def test_vectors_near_the_limit_are_found(spark):
+    """Planted pairs at cosine 0.95 to 0.97 among 6,000 vectors in many lists: links and counts against brute force."""
+    import numpy as np
+    from feedscope.llm import vectors
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in range(0, 3000, 3):  # two neighbours of a third of them
+        for step in (1, 2):
+            side = rng.normal(size=64)
+            side -= (side @ x[k]) * x[k]
+            c = rng.uniform(0.95, 0.97)
+            x[k + step] = c * x[k] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame, list_rows=20).collect()}
+    cos = x @ x.T
+    want = {i: int((cos[i] >= 0.95).sum()) - 1 for i in range(len(x))}
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.99 * sum(want.values()) > 3500
