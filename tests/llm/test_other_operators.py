@@ -264,3 +264,11 @@ def test_pipeline(spark):
         odd = common.table(stage(spark, odd, folder))
         assert odd.columns == [*docs.columns, "id"]
     assert odd.count() >= 8
+
+
+def test_compound_names_inside_articles():
+    gone = "comment-list comments-area reader-comments cookie-banner newsletter-signup sidebar-left ad-slot related-posts share-buttons ad_slot".split()
+    kept = "social-policy notice-of-court has-sidebar no-comments advertising-law commentary".split()
+    for name in gone + kept:
+        page = f'<div class="{name}"><article class="{name}"><p>one</p><div id="x" class="a {name}"><p>two</p></div><p>three</p></article></div>'
+        assert webtext.blocks(page)[0] == (["one", "three"] if name in gone else ["one", "two", "three"]), name
