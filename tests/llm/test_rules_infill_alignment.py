@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from odd import odd_rows
+from odd import odd_rows, plain_best_fit
 from feedscope.llm import alignment, common, infill, queries, rules
 
 FOLDER = "/root/testdata/sf0.001"
@@ -272,20 +272,8 @@ def test_packing_is_plain_online_best_fit(spark):
     sizes = [rng.choice([2048, rng.randrange(1, 2049), rng.randrange(1, 300)]) for _ in range(3000)]
     rows = spark.createDataFrame(list(enumerate(sizes)), "n long, length long")
     arrival = [r.length for r in rows.withColumn("_m", F.xxhash64("n")).orderBy("_m", "n").collect()]
-    free, made = [], 0
-    for size in arrival:
-        fits = [f for f in free if f >= size]
-        if fits:
-            free.remove(min(fits))
-            rest = min(fits) - size
-        else:
-            if len(free) >= packing.OPEN_BINS:
-                free.remove(min(free))
-            made, rest = made + 1, packing.CAPACITY - size
-        if rest:
-            free.append(rest)
     packed = packing.pack(rows, ["n"])
-    assert packed.select("sequence_id").distinct().count() == made
+    assert packed.select("sequence_id").distinct().count() == plain_best_fit(arrival, packing.CAPACITY, packing.OPEN_BINS)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("s")).where(f"s > {packing.CAPACITY}").count() == 0
 
 

@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from odd import odd_rows
+from odd import odd_rows, plain_best_fit
 from feedscope.llm import fingerprints, lines, near, packing, substring
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -98,7 +99,10 @@ def test_packing(docs_of, corpus):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(bins) <= 1.02 * -(-sum(map(len, ids.values())) // 2048) + 1
+    # exactly as many as plain online best-fit makes of the pieces in the same order
+    order = ["doc_id", "piece", "ids_crc32"]
+    arrival = packing.pieces(docs_of(rows)).withColumn("_m", F.xxhash64(*order)).orderBy("_m", *order).collect()
+    assert len(bins) == plain_best_fit([r.length for r in arrival], 2048, packing.OPEN_BINS)
     assert packing.pack_documents(docs_of([])).collect() == []
     assert packing.pack_documents(docs_of(odd_rows())).where("piece = 0").count() == len(odd_rows())
 
