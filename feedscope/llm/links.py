@@ -40,22 +40,26 @@ def block_groups(members: DataFrame, near: Callable[[Column, Column], Column],
                  verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """id, component of all rows that verified links inside blocks connect.
 
-    ``members``: key, id, sketch.  ``near`` compares two sketches cheaply; ``verify`` keeps the true links of pairs (a, b).
+    ``members``: key, id, sketch (long).  ``near`` compares two sketches cheaply; ``verify`` keeps the true links of pairs (a, b).
 
-    1. In each block every row is compared with one centre, the row that shares blocks with most others.
+    0. Blocks of two rows, nearly all of those that meet by chance, are one pair each, read from the aggregate that counts.
+    1. In each larger block every row is compared with one centre, the row that shares blocks with most others.
     2. These links make groups.  Rows of a block outside its centre's group, usually few, are compared with all rows of
        the block that are in another group; that finds what the centre did not see.
     Pairs inside one group need no look: they can add nothing to the groups.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = table(members.join(sizes, "key"))
+    ends = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("id").alias("a"), F.max("id").alias("b"),
+                                      F.min_by("sketch", "id").alias("_sa"), F.max_by("sketch", "id").alias("_sb"))
+    sizes = table(ends.where((F.col("_n") > 2) | (F.col("_n") == 2) & near(F.col("_sa"), F.col("_sb")))
+                  .select("key", "_n", "a", "b"))
+    shared = table(members.join(sizes.where("_n > 2").select("key", "_n"), "key"))
     weight = shared.groupBy("id").agg(F.sum("_n").alias("_w"))
     centres = table(shared.join(weight, "id").groupBy("key").agg(
         F.min_by(F.struct(F.col("id").alias("c"), F.col("sketch").alias("s")), F.struct(-F.col("_w"), F.col("id")))
         .alias("_c")).select("key", "_c.c", "_c.s"))
     pairs = shared.join(centres, "key").where((F.col("id") != F.col("c")) & near(F.col("sketch"), F.col("s"))) \
-                  .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    pairs = table(pairs)
+                  .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+    pairs = table(pairs.unionByName(sizes.where("_n = 2 and a <> b").select("a", "b")).distinct())
     groups = components(verify(pairs))
     tagged = shared.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component", "_n")
     centre_group = centres.select("key", F.col("c").alias("id")).join(groups, "id", "left") \
