@@ -314,3 +314,31 @@ def test_lines_of_odd_rows(docs_of):
     assert by[4] == {("a", 1, 0)} and by[5] == {("", 1, 1), ("b c d", 1, 0)} and by[8] == {("", 1, 1)}
     assert by[10] == {("one two three four five six seven eight\n", 41, 39)} and by[11] == {("\n" * 1000, 1001, 0)}
     assert lines.drop_lines(docs_of([])).collect() == []
+
+
+def test_lines_by_ends_of_words(spark, docs_of):
+    """Pairs of lines: all links up to 46 letters, beyond that those whose SimHashes agree in two of five blocks."""
+    rng = random.Random(5)
+    letters, pairs = "abcdefghijklmnop", []
+    for n in [1, 2, 4, 6, 12, 20, 30, 45, 80] * 5:
+        line = list(" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(n)))
+        other = list(line)
+        for _ in range(rng.randrange(1, 4)):
+            other[rng.choice([i for i, x in enumerate(other) if x != " "])] = rng.choice(letters)
+        pairs.append(("".join(line), "".join(other)))
+    han = "".join(chr(0x4e00 + rng.randrange(3000)) for _ in range(80))
+    pairs = [p for p in pairs if p[0] != p[1]] + [(han, han[:40] + "一" + han[41:])]
+    frame = spark.createDataFrame([(x,) for x in {x for p in pairs for x in p}], "line string")
+    sim = {r.line: r.sketch & (1 << 64) - 1 for r in lines.simhashes(frame, "line", ends=True).collect()}
+    cuts = [64 * i // 5 for i in range(6)]
+
+    def candidates(x, y):
+        apart = sim[x] ^ sim[y]
+        same = sum(not apart >> a & (1 << b - a) - 1 for a, b in zip(cuts, cuts[1:]))
+        assert same >= 2 or apart.bit_count() > 3
+        return max(len(x), len(y)) <= 46 or same >= 2 and apart.bit_count() <= 12
+    linked = [edit_distance(x, y) * 10 <= max(len(x), len(y)) for x, y in pairs]
+    found = [near and candidates(*p) for near, p in zip(linked, pairs)]
+    got = lines.drop_lines(docs_of([(i, x) for i, x in enumerate(x for p in pairs for x in p)]), ends=True)
+    gone = {r.doc_id for r in got.where("n_dropped > 0").collect()}
+    assert gone == {2 * i + 1 for i, f in enumerate(found) if f}
