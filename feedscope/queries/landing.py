@@ -114,8 +114,10 @@ def microdata_posts(d):
 
 # ---------------------------------------------------------------- streams over the same tables
 def _stream(d, name):
+    """The table's files as they land, whether it is one file or a folder of part files."""
     schema = d.table(name).schema
-    return d.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d.folder)
+    # a pattern, as a stream takes a plain path for a folder
+    return d.spark.readStream.schema(schema).parquet(f"{d.folder}/{name}.parque[t]")
 
 
 @query("stream_history", f"""WITH k AS (SELECT id, {KEY_SQL} AS key, published_at AS t FROM (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title,

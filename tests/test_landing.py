@@ -264,3 +264,13 @@ def test_a_run_with_repeated_side_rows_multiplies_nothing(spark):
     assert got[1] == ("Carbon market report in full", "new", "S", "published") and len(got) == kept.count() and late.count() == 0
     bare, _ = R.full_run(raw, rules.registry(spark), R.SideTables(), as_of(), [F.col("id")], "id")
     assert {r["title_zh"] for r in bare.collect()} == {""} and R.full_run(raw.limit(0), rules.registry(spark), R.SideTables(), as_of(), [F.col("id")], "id")[0].count() == 0
+
+
+def test_streams_read_tables_that_are_folders_of_part_files(spark, tmp_path):
+    from feedscope.queries import all_queries
+    single = "/root/testdata/sf0.001"
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{single}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_history", "stream_repeats"):
+        rows = [sorted(map(tuple, all_queries()[name](spark, folder).collect())) for folder in (single, str(tmp_path))]
+        assert rows[0] and rows[0] == rows[1]
