@@ -10,8 +10,6 @@ from ..session import cut_lineage
 from . import fixed_values as V
 
 LINK = r"\[\[([^\[\]]+?)\]\]"
-#: Letters by which names and links meet before lengths are tried.
-HEAD = 8
 _DATED = r"^\d{4}-\d{2}-\d{2} "
 
 
@@ -38,21 +36,36 @@ def referenced(names: DataFrame, links: DataFrame, name: str = "file_name") -> D
 
 
 # ------------------------------------------------------------------ resolving names
-def _proper_prefixes(long: DataFrame, short: DataFrame) -> DataFrame:
-    """long(_x, _all), short(_s): the first letters of ``_x`` that may be some ``_s``, with the least and greatest ``_all``.
+def _levels(x: Column) -> Column:
+    """The powers of two up to the length of ``x``, which is not empty."""
+    return F.transform(F.sequence(F.lit(0), F.length(F.bin(chars(x))) - 1), lambda j: F.pow(F.lit(2.0), j).cast("int"))
 
-    A trie of two levels: the lengths that exist are gathered per head of ``HEAD`` letters (a shorter text is its own
-    head), and a text is cut only at lengths that exist under its own heads.  Cuts are reduced to two values before they
-    are shuffled by themselves, so a beginning that very many texts share is one row per task.
+
+def _cuts(long: DataFrame, short: DataFrame) -> DataFrame:
+    """long(_x, ...), short(_s): long with ``_cut``, the first letters of ``_x`` at every length where they may be some shorter ``_s``.
+
+    A trie whose levels are powers of two: a short text is listed with its length under its first 1, 2, 4, 8 ... letters, as
+    many as it has, so texts meet there only if they share at least half of the shorter one.  A text asks once a level, and
+    only hashes and lengths travel to find its lengths.  Equal hashes of other texts add a cut, which then meets no ``_s``.
+    """
+    n, size = F.char_length("_s"), F.element_at(_levels(F.col("_s")), -1)
+    listed = short.where("_s <> ''").select(F.xxhash64(F.substring(F.col("_s"), F.lit(1), size), size).alias("_head"), n.alias("_n")) \
+        .groupBy("_head").agg(F.collect_set("_n").alias("_sizes"))
+    heads = F.transform(_levels(F.col("_x")), lambda k: F.xxhash64(F.substring(F.col("_x"), F.lit(1), k), k))
+    asked = long.where("_x <> ''").select(F.xxhash64("_x").alias("_key"), F.char_length("_x").alias("_all"), F.explode(heads).alias("_head"))
+    sizes = asked.join(listed, "_head").select("_key", F.explode(F.filter("_sizes", lambda k: k < F.col("_all"))).alias("_k")) \
+        .groupBy("_key").agg(F.collect_set("_k").alias("_sizes"))
+    return long.where("_x <> ''").withColumn("_key", F.xxhash64("_x")).join(sizes, "_key") \
+        .select(*long.columns, F.explode("_sizes").alias("_k")).where(F.col("_k") < F.char_length("_x")) \
+        .select(*long.columns, F.substring(F.col("_x"), F.lit(1), F.col("_k")).alias("_cut"))
+
+
+def _proper_prefixes(long: DataFrame, short: DataFrame, full: Column | str = "_all") -> DataFrame:
+    """The first letters of ``_x`` that may be some ``_s``, with the least and greatest ``full``.
+
+    Cuts are reduced to two values before they are shuffled, so a beginning that very many texts share is one row per task.
     """
-    head = F.substring("_s", 1, HEAD)
-    lengths = short.groupBy(head.alias("_head")).agg(F.sort_array(F.collect_set(chars("_s"))).alias("_sizes"))
-    heads = F.transform(F.sequence(F.lit(1), F.least(chars("_x"), F.lit(HEAD))), lambda k: F.substring("_x", F.lit(1), k))
-    probes = long.where("_x <> ''").select("_x", "_all", F.explode(heads).alias("_head"))
-    cuts = probes.join(lengths, "_head").select(
-        F.explode(F.filter("_sizes", lambda k: k < chars("_x"))).alias("_k"), "_x", "_all")
-    return cuts.groupBy(F.substring("_x", F.lit(1), F.col("_k")).alias("_cut")).agg(
-        F.min("_all").alias("_lo"), F.max("_all").alias("_hi"))
+    return _cuts(long, short).groupBy("_cut").agg(F.min(full).alias("_lo"), F.max(full).alias("_hi"))
 
 
 def resolve_links(links: DataFrame, files: DataFrame, target: str = "target", name: str = "file_name",
@@ -71,18 +84,15 @@ def resolve_links(links: DataFrame, files: DataFrame, target: str = "target", na
     open_links = exact.where(F.col("_known").isNull()).select("_link")
     names = by_name.select(F.col(name).alias("_n"))
     # names that go on where the link ends
-    starts = _proper_prefixes(names.select(F.col("_n").alias("_x"), F.col("_n").alias("_all")), open_links.select(F.col("_link").alias("_s")))
+    starts = _proper_prefixes(names.select(F.col("_n").alias("_x")), open_links.select(F.col("_link").alias("_s")), "_x")
     longer = open_links.join(starts.withColumnRenamed("_cut", "_link"), "_link")
     # dated names that end with the link: the same on turned texts
-    dated = names.where(F.col("_n").rlike(_DATED)).select(F.reverse("_n").alias("_x"), F.col("_n").alias("_all"))
-    ends = _proper_prefixes(dated, open_links.select(F.reverse("_link").alias("_s")))
+    dated = names.where(F.col("_n").rlike(_DATED)).select(F.reverse("_n").alias("_x"))
+    ends = _proper_prefixes(dated, open_links.select(F.reverse("_link").alias("_s")), F.reverse("_x"))
     ending = open_links.join(ends.select(F.reverse("_cut").alias("_link"), "_lo", "_hi"), "_link")
     # names that the link goes on from: links are cut, each cut is one name
-    lengths = names.groupBy(F.substring("_n", 1, HEAD).alias("_head")).agg(F.sort_array(F.collect_set(chars("_n"))).alias("_sizes"))
-    heads = F.transform(F.sequence(F.lit(1), F.least(chars("_link"), F.lit(HEAD))), lambda k: F.substring("_link", F.lit(1), k))
-    cuts = open_links.select("_link", F.explode(heads).alias("_head")).join(lengths, "_head") \
-        .select("_link", F.explode(F.filter("_sizes", lambda k: k < chars("_link"))).alias("_k")) \
-        .select("_link", F.substring("_link", F.lit(1), F.col("_k")).alias("_n"))
+    cuts = _cuts(open_links.select(F.col("_link").alias("_x")), names.select(F.col("_n").alias("_s"))) \
+        .select(F.col("_x").alias("_link"), F.col("_cut").alias("_n"))
     shorter = cuts.join(names, "_n").groupBy("_link").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
     fuzzy = longer.unionByName(ending).unionByName(shorter).groupBy("_link") \
         .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo = _hi") \

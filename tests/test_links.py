@@ -47,3 +47,19 @@ def test_cuts_only_at_lengths_of_links(spark):
     assert {len(r._cut) for r in L._proper_prefixes(long, short).collect()} == {2, 20, 90}
     links = spark.createDataFrame([("z" * 90,), ("y" * 60_000,)], "target string")
     assert {r.resolved_path for r in L.resolve_links(links, files).collect()} == {"p", "q"}
+
+
+def test_cuts_do_not_grow_with_the_lengths_of_other_texts(spark):
+    """Texts that share only their first letters are not cut at each other's lengths; a text is met wherever it ends."""
+    names = [f"Common beginning {i:03d} " + "x" * i for i in range(300)]
+    long = spark.createDataFrame([(n, n) for n in names], "_x string, _all string")
+    short = spark.createDataFrame([(n[:-3],) for n in names], "_s string")
+    cuts = L._proper_prefixes(long, short)
+    assert {n[:-3] for n in names} <= {r._cut for r in cuts.collect()}
+    assert cuts.count() < 35 * len(names)
+    text = "".join(chr(97 + i % 26) for i in range(70))
+    got = L.resolve_links(spark.createDataFrame([(text,)], "target string").unionByName(
+        spark.createDataFrame([(text[:k] + "?",) for k in (1, 2, 3, 4, 7, 8, 9, 31, 32, 33, 64, 69)], "target string")),
+        spark.createDataFrame([(text[:k], str(k)) for k in (3, 32)], "file_name string, note_path string"))
+    assert {(len(r.target), r.resolved_path) for r in got.collect()} == {
+        (70, None), (2, None), (3, None), (4, "3"), (5, "3"), (8, "3"), (9, "3"), (10, "3"), (32, "3"), (33, None), (34, None), (65, None), (70, None)}
