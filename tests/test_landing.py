@@ -274,3 +274,13 @@ def test_streams_read_tables_that_are_folders_of_part_files(spark, tmp_path):
     for name in ("stream_history", "stream_repeats"):
         rows = [sorted(map(tuple, all_queries()[name](spark, folder).collect())) for folder in (single, str(tmp_path))]
         assert rows[0] and rows[0] == rows[1]
+
+
+def test_a_landing_is_not_gathered_in_one_file(spark, tmp_path, monkeypatch):
+    from feedscope.queries import all_queries, runs
+    monkeypatch.setattr(runs, "run_folder", lambda d, name: str(tmp_path / name))
+    all_queries()["stream_full_run"](spark, "/root/testdata/sf0.001")
+    for part in "012":
+        assert len(list((tmp_path / "feed" / "landed" / part).glob("*.parquet"))) > 1
+    archive = ingest.HistoryTable(spark, str(tmp_path / "feed" / "run" / "archive"))
+    assert [e["batch"] for e in archive.entries()] == [0, 1, 2]  # still a micro-batch a landing
