@@ -97,3 +97,13 @@ def test_streak_stops_at_ok_and_at_gap(spark):
     df = spark.createDataFrame(rows, "t int, site_id string, ok boolean, n int").withColumn("snap", F.timestamp_seconds(F.col("t") * 3600))
     got = {r["site_id"]: (r["streak"], r["last_ok"] and r["last_ok"].hour) for r in H.failure_streaks(df).collect()}
     assert got == {"a": (3, 7), "b": (1, None), "c": (0, 10), "d": (4, None)}
+
+
+def test_python_workers_get_small_batches(spark):
+    """A worker holds a batch of pages; its rows must not depend on the rows of a task."""
+    import pyarrow as pa
+    from feedscope.queries.base import Data
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    Data(spark, "/root/testdata/sf0.001")
+    size = F.arrow_udf(lambda x: pa.array([len(x)] * len(x), pa.int64()), "long")
+    assert spark.range(0, 5000, 1, 1).select(size("id").alias("n")).agg(F.max("n")).first()[0] <= 1000
