@@ -342,3 +342,19 @@ def test_lines_by_ends_of_words(spark, docs_of):
     got = lines.drop_lines(docs_of([(i, x) for i, x in enumerate(x for p in pairs for x in p)]), ends=True)
     gone = {r.doc_id for r in got.where("n_dropped > 0").collect()}
     assert gone == {2 * i + 1 for i, f in enumerate(found) if f}
+
+
+def test_the_chunk_table_is_not_emptied_by_many_words():
+    import itertools
+    from feedscope.llm import common
+    encoder, learned = common.library_encoder(common.tokenizer_text()), []
+    letters = encoder.encode_letters
+    encoder.encode_letters = lambda words: learned.append(len(words)) or letters(words)
+    try:
+        words = ["".join(w) for w in itertools.islice(itertools.product("bcdfghjklm", repeat=6), 420_000)]
+        texts = [" ".join(words[i:i + 1000]) for i in range(0, len(words), 1000)]
+        first = [x for i in range(0, len(texts), 100) for x in encoder(texts[i:i + 100])]
+        once = sum(learned)
+        assert [x for i in range(0, len(texts), 100) for x in encoder(texts[i:i + 100])] == first and sum(learned) == once
+    finally:
+        common._encoders.clear()
