@@ -6,6 +6,7 @@ import hashlib
 import json
 import re as plain_re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 NONE = 1 << 40
+#: Places of the trees that are merged side by side; words of any length and number take no more than this, or one word.
+MERGE_PLACES = 1 << 18
 
 
 def byte_letters() -> dict[int, str]:
@@ -122,9 +125,10 @@ class Bpe:
         width_of = np.array([1 << max(1, int(n - 1).bit_length()) for n in size])
         out: list[bytes] = [b""] * len(words)
         for width in np.unique(width_of).tolist():
-            rows = np.flatnonzero(width_of == width)
-            for i, ids in zip(rows.tolist(), self._merge_rows([raw[i] for i in rows.tolist()], size[rows], width)):
-                out[i] = ids
+            rows, step = np.flatnonzero(width_of == width), max(1, MERGE_PLACES // width)
+            for some in (rows[a:a + step] for a in range(0, len(rows), step)):
+                for i, ids in zip(some.tolist(), self._merge_rows([raw[i] for i in some.tolist()], size[some], width)):
+                    out[i] = ids
         return out
 
     def _merge_rows(self, raw: list[bytes], size: np.ndarray, width: int) -> list[bytes]:
@@ -233,13 +237,20 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again."""
-    def run(batch: pa.RecordBatch):
-        ids = batch.column("ids").to_pylist()
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
-             pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in batch.column("decoded").to_pylist()], pa.string())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return C.by_arrow(decode(encode(docs, path), path), run,
-                      "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again.
+
+    Both ways in one step, so that a task has one Python worker with one vocabulary, and texts of about ``C.SLICE_BYTES``
+    at a time; a decoded text is gone when its digest is made.
+    """
+    content = docs.sparkSession.sparkContext.broadcast(C.tokenizer_text(path))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bpe, encoder = worker(content.value)
+        for part in C.slices(batch):
+            ids = encoder(C.texts(part.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                 pa.array([hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in ids], pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return C.by_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -81,6 +81,23 @@ def test_bpe_and_shards_of_odd_rows(spark, docs_of, library, tmp_path):
         wavelet.write_shards(docs_of([(1, "some text")]), str(tmp_path / "narrow"), width=3)
 
 
+def test_bpe_round_trip_is_bounded_in_memory(docs_of, library, monkeypatch):
+    """One Python worker a task does both ways; words of any number and length are merged a bounded number of places at a time."""
+    plan = bpe.digests(docs_of([(1, "some text")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    own, rng, seen, plain = bpe.worker(common.tokenizer_text())[0], random.Random(6), [], bpe.Bpe._merge_rows
+
+    def watched(self, raw, size, width):
+        seen.append((len(raw), width))
+        return plain(self, raw, size, width)
+    monkeypatch.setattr(bpe.Bpe, "_merge_rows", watched)
+    monkeypatch.setattr(bpe, "MERGE_PLACES", 256)
+    words = ["".join(rng.choice("thenaiosr") for _ in range(n)) for n in (*range(1, 60), *[40] * 50, 300, 500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_letters(words)] \
+        == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert all(n == 1 or n * width <= 256 for n, width in seen) and max(width for _, width in seen) == 512
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (1, 7, 512, 513, 3000):
