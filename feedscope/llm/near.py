@@ -10,6 +10,7 @@ shingles draw one or two.  Bands of the signature block candidates; links are ve
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 #: Bits of 64 in which sketches of linked documents may differ: 6.4 are expected at 0.8, 17 is over four deviations more.
 SKETCH_BITS = 17
+#: Buckets by hash in which the shingles are counted that a row lacks or has beside its centre's.
+BUCKETS = 128
 _STEP = C.U64(0x9E3779B97F4A7C15)
 
 
@@ -90,8 +93,8 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: in
                       "doc_id long, _row long, d1 long, d2 long, keys array<long>, sketch long")
 
 
-def verifier(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD):
-    """Keeps pairs of representatives whose multisets of shingles overlap enough: sum of minima over sum of maxima."""
+def _with_bags(docs: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """Pairs (a, b) of representatives with their bags x and y: 64-bit numbers, a shingle's hash and its count in turn."""
     def bag_of(batch: pa.RecordBatch):
         for part in C.slices(batch):
             doc, key, count = bags(C.Words(part.column("text")), shingle)
@@ -100,27 +103,86 @@ def verifier(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, threshold
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([both[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
                 names=["id", "bag"])
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct() \
+                  .join(reps.select("id", "doc_id", "_row"), "id")
+    held = C.table(C.by_arrow(docs.select(*C.doc_key(), "text").join(needed, ["doc_id", "_row"]).select("id", "text"),
+                              bag_of, "id long, bag binary").dropDuplicates(["id"]))
+    return pairs.join(held.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a") \
+                .join(held.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
+
 
+def _bags_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Both bags of each pair and the places of their common shingles."""
+    for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+        x, y = (np.frombuffer(v, np.int64).reshape(-1, 2) for v in (x, y))
+        _, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
+        yield x, y, i, j
+
+
+def verifier(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD):
+    """Keeps pairs of representatives whose multisets of shingles overlap enough: sum of minima over sum of maxima."""
     def overlap(batch: pa.RecordBatch):
         ok = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = (np.frombuffer(v, np.int64).reshape(-1, 2) for v in (x, y))
-            _, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
+        for x, y, i, j in _bags_of(batch):
             least = np.minimum(x[i, 1], y[j, 1]).sum()
             ok.append(bool(least >= threshold * (x[:, 1].sum() + y[:, 1].sum() - least)))
         return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct() \
-                      .join(reps.select("id", "doc_id", "_row"), "id")
-        held = C.table(C.by_arrow(docs.select(*C.doc_key(), "text").join(needed, ["doc_id", "_row"]).select("id", "text"),
-                                  bag_of, "id long, bag binary").dropDuplicates(["id"]))
-        both = pairs.join(held.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a") \
-                    .join(held.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
-        return C.by_arrow(both.select("a", "b", "x", "y"), overlap, "a long, b long")
+        return C.by_arrow(_with_bags(docs, reps, pairs, shingle), overlap, "a long, b long")
     return verify
 
 
+def measurer(docs: DataFrame, reps: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD):
+    """How representatives differ from centres, and which two of one centre can be linked.
+
+    A row x lacks shingles of its centre c (weight m) and has others (weight d); ``s`` of d are shingles that another row
+    of the centre has more often than c, too.  With n for the weight of c, two rows overlap by n - m - m' + w and make up
+    n + d + d' - w, where w is what their differences share: at most min(m, m') + min(s, s'), and at most the sum of lesser
+    counts over the buckets ``lacks`` and ``has``.  So no pair that reaches the threshold is left out, and copies with edits
+    of their own make few pairs.
+    """
+    def differ(batch: pa.RecordBatch):
+        n, m, d, more, counts, lacks, has = [], [], [], [], [], [], []
+        for x, y, i, j in _bags_of(batch):
+            over, under, least = x[:, 1].copy(), y[:, 1].copy(), np.minimum(x[i, 1], y[j, 1])
+            over[i] -= least
+            under[j] -= least
+            n.append(int(y[:, 1].sum()))
+            m.append(int(under.sum()))
+            d.append(int(over.sum()))
+            more.append(x[over > 0, 0])
+            counts.append(over[over > 0])
+            for out, bag, weight in ((lacks, y, under), (has, x, over)):
+                out.append(np.bincount(bag[:, 0] % BUCKETS, weight, BUCKETS).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), *[pa.array(v, pa.int64()) for v in (n, m, d)],
+             *[pa.array(v, pa.list_(pa.int64())) for v in (more, counts)],
+             *[pa.array(v, pa.list_(pa.int32())) for v in (lacks, has)]],
+            names=["id", "c", "n", "m", "d", "more", "counts", "lacks", "has"])
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        found = C.table(C.by_arrow(
+            _with_bags(docs, reps, pairs.select(F.col("id").alias("a"), F.col("c").alias("b")), shingle), differ,
+            "id long, c long, n long, m long, d long, more array<long>, counts array<long>, lacks array<int>, has array<int>"))
+        single = found.select("id", "c", F.explode(F.arrays_zip("more", "counts")).alias("e")) \
+                      .groupBy("c", "e.more").agg(F.min("id").alias("id"), F.max("id").alias("_last"), F.sum("e.counts").alias("w")) \
+                      .where(F.col("id") == F.col("_last")).groupBy("id", "c").agg(F.sum("w").alias("w"))
+        rows = found.drop("more", "counts").join(single, ["id", "c"], "left") \
+                    .withColumn("s", F.col("d") - F.coalesce("w", F.lit(0))).drop("w")
+        return rows.where(F.col("s") >= threshold * (F.col("n") + F.col("d")) - F.col("n") + (1 - threshold) * F.col("m") - 1e-6)
+
+    def may_link(x, y):
+        needed = threshold * (x("n") + x("d") + y("d")) - x("n") + x("m") + y("m") - 1e-6
+
+        def common(name):
+            return F.aggregate(F.zip_with(x(name), y(name), lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, k: total + k)
+        coarse = (1 + threshold) * (F.least(x("m"), y("m")) + F.least(x("s"), y("s"))) >= needed
+        fine = (1 + threshold) * (common("lacks") + F.least(x("s"), y("s"), common("has"))) >= needed
+        return F.when(coarse, fine).otherwise(F.lit(False))
+    return measure, may_link
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """doc_id, _row, class_id, kept for every row: groups connected by a weighted Jaccard similarity of ``threshold``.
@@ -135,8 +197,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     reps = C.table(marks.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "_row", "keys", "sketch"), order).alias("r"))
                    .select("d1", "d2", "r.*").withColumn("id", F.monotonically_increasing_id()))
     members = reps.select(F.explode("keys").alias("key"), "id", "sketch")
+    named_docs = docs.where("doc_id is not null")
     groups = block_groups(members, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= SKETCH_BITS,
-                          verifier(docs.where("doc_id is not null"), reps, shingle, threshold))
+                          verifier(named_docs, reps, shingle, threshold), *measurer(named_docs, reps, shingle, threshold))
     named = C.table(reps.select("d1", "d2", "id", "doc_id", "_row").join(groups, "id", "left")
                     .withColumn("component", F.coalesce("component", "id")))
     heads = named.groupBy("component").agg(F.min_by(F.struct(F.col("doc_id").alias("class_id"), F.col("_row").alias("_head")),

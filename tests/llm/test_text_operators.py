@@ -206,6 +206,42 @@ def test_near_duplicates_equal_brute_force(docs_of, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("with_source", [True, False])
+def test_copies_with_edits_of_their_own_make_few_pairs(docs_of, monkeypatch, with_source):
+    """Copies of one text under the limit of each other are not compared pair by pair, and twins among them are found."""
+    rng = random.Random(11)
+    source = prose(rng, 150)
+
+    def edited(words, edits):
+        words = list(words)
+        for at in rng.sample(range(len(words)), edits):
+            words[at] = f"new{rng.randrange(10**9)}"
+        return words
+    texts = [source] * with_source + [edited(source, rng.randrange(4, 9)) for _ in range(200)]
+    texts += [edited(w[:140], 1) for w in rng.sample(texts[1:], 20)]
+    rows = list(enumerate(map(" ".join, texts)))
+    rng.shuffle(rows)
+    made, plain_verifier = [], near.verifier
+
+    def watched(*args):
+        verify = plain_verifier(*args)
+
+        def counting(pairs):
+            made.append(pairs.count())
+            return verify(pairs)
+        return counting
+    monkeypatch.setattr(near, "verifier", watched)
+    bag = {i: shingles(t) for i, t in rows}
+
+    def similar(x, y):
+        least = sum((bag[x] & bag[y]).values())
+        return least >= 0.8 * (sum(bag[x].values()) + sum(bag[y].values()) - least)
+    want = groups_of(bag, [(x, y) for x in bag for y in bag if x < y and similar(x, y)])
+    assert {r.doc_id: r.class_id for r in near.near_duplicates(docs_of(rows)).collect()} == want
+    assert 15 < len(rows) - len(set(want.values())) < 100
+    assert sum(made[1:]) < 5 * len(rows)
+
+
 def test_near_duplicates_of_odd_rows(docs_of):
     got = near.near_duplicates(docs_of(odd_rows())).collect()
     assert len(got) == len(odd_rows())
