@@ -340,6 +340,46 @@ def test_lines_linked_by_edit_similarity_alone(docs_of):
     assert len(rows) - len(want) > 80 and len(kept - want) <= 0.02 * (len(rows) - len(want))
 
 
+def test_lines_linked_by_phrases(spark, docs_of):
+    """Words changed in a tenth of a line's letters: all links are found, by a bounded number of keys a line."""
+    from pyspark.sql import functions as F
+    rng = random.Random(33)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    rows = []
+    for n in [2, 4, 6, 9, 14, 30, 60, 150] * 6:
+        line = [rng.choice(words) for _ in range(n)]
+        other = list(line)
+        for _ in range(max(1, n // 16)):
+            other[rng.randrange(n)] = rng.choice(words)
+        rows += [" ".join(line), " ".join(other)]
+    han = "".join(chr(0x4e00 + rng.randrange(3000)) for _ in range(80))
+    rows += [han, han[:40] + "一" + han[41:]]
+    links = [(i + 1, i) for i in range(0, len(rows), 2)
+             if 0 < edit_distance(rows[i], rows[i + 1]) * 10 <= max(len(rows[i]), len(rows[i + 1]))]
+    links += [(i + 1, i) for i in range(0, len(rows), 2) if rows[i] == rows[i + 1]]
+    got = lines.drop_lines(docs_of(list(enumerate(rows))), phrases=True)
+    assert {r.doc_id for r in got.where("n_dropped > 0").collect()} == {i for i, _ in links} and len(links) > 25
+    frame = spark.createDataFrame([(x,) for x in rows if len(x) >= lines.PHRASES_FROM], "line string").distinct()
+    sims = lines.simhashes(frame, "line", seeds=lines.SEEDS)
+    assert sims.columns == ["line", "sketch", *[f"m{k}" for k in range(lines.SEEDS)]] and lines.SEEDS <= 8
+    plain_sims = {r.line: r.sketch for r in lines.simhashes(frame, "line").collect()}
+    assert all(plain_sims[r.line] == r.sketch for r in sims.where(F.size(F.split("line", " ")) > 1).collect())
+
+
+def test_distance_without_common_ends(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(34)
+    pairs = [("a", "b"), ("a b", "a"), ("a a", "a a a"), ("a b a", "a c a"), ("x a b", "a b"), ("ab", "ab c")]
+    for _ in range(200):
+        x = [rng.choice(["a", "bc", "d"]) for _ in range(rng.randrange(1, 9))]
+        y = x[:rng.randrange(0, 4)] + [rng.choice(["a", "bc", "e"])] + x[rng.randrange(0, len(x)):]
+        pairs.append((" ".join(x), " ".join(y)))
+    frame = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "x string, y string")
+    got = frame.select("x", "y", F.levenshtein("x", "y").alias("d"), lines._unlike(F.col("x"), F.col("y"), F.levenshtein).alias("e"),
+                       lines._unlike(F.col("x"), F.col("y"), lambda a, b: F.char_length(a) + F.char_length(b)).alias("n")).collect()
+    assert all(r.d == r.e for r in got) and any(r.n < len(r.x) + len(r.y) for r in got)
+
+
 def test_lines_of_odd_rows(docs_of):
     got = lines.drop_lines(docs_of(odd_rows())).collect()
     assert len(got) == len(odd_rows())
