@@ -366,6 +366,69 @@ def test_lines_linked_by_phrases(spark, docs_of):
     assert all(plain_sims[r.line] == r.sketch for r in sims.where(F.size(F.split("line", " ")) > 1).collect())
 
 
+def test_unlike_lines_make_few_pairs(spark, docs_of, monkeypatch):
+    """Short lines of a few syllables share many runs of letters; the pairs to verify stay near the links, and none is lost."""
+    rng = random.Random(41)
+    syllables = ["th", "en", "er", "ing", "on", "at", "ed", "ha", "re", "wh", "nd", "tion", "ou", "es", "an", "st"]
+
+    def line():
+        out = ""
+        while len(out) < 30:
+            out += "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) + " "
+        return out.strip()[:44].strip()
+    rows = [line() for _ in range(1200)]
+    for x in rows[:60]:
+        y = list(x)
+        for _ in range(rng.randrange(1, len(x) // 10 + 1)):
+            at = rng.randrange(len(y))
+            y[at:at + rng.choice((0, 1, 1))] = rng.choice("abcdeghi")
+        rows.append(plain("".join(y)))
+    rows = list(dict.fromkeys(rows))
+    made, block_groups = [], lines.block_groups
+
+    def counted(members, near, verify, **more):
+        def and_count(pairs, *known):
+            made.append(pairs.count())
+            return verify(pairs, *known)
+        return block_groups(members, near, and_count, **more)
+    monkeypatch.setattr(lines, "block_groups", counted)
+    got = lines.drop_lines(docs_of(list(enumerate(rows))), phrases=True)
+    links = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if abs(len(x) - len(y)) * 10 <= max(len(x), len(y))
+             and sum((Counter(x) - Counter(y)).values()) * 10 <= max(len(x), len(y))
+             and edit_distance(x, y) * 10 <= max(len(x), len(y))]
+    group = groups_of(rows, links)
+    first = {}
+    for x in rows:
+        first.setdefault(group[x], x)
+    assert {rows[r.doc_id] for r in got.where("n_dropped = 0").collect()} == set(first.values())
+    assert len(links) > 40 and sum(made) < 4 * len(links)
+
+
+def test_bags_of_lines_lose_no_link(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(42)
+    pairs = [("e" * 20000, "e" * 22222), ("e" * 40000 + "t", "e" * 40000 + "a"), ("漢字" * 10, "漢字" * 9 + "字漢"), ("ab", "ba")]
+    for _ in range(300):
+        x = [rng.choice("etaoin xyz é") for _ in range(rng.randrange(10, 120))]
+        y = list(x)
+        for _ in range(rng.randrange(0, len(x) // 6 + 1)):
+            at = rng.randrange(len(y) + 1)
+            y[at:at + rng.choice((0, 1, 1))] = rng.choice(([], ["e"], ["q"]))
+        pairs.append(("".join(x), "".join(y)))
+    frame = spark.createDataFrame(pairs, "x string, y string")
+    bags = frame.select("x", "y", lines._bag(F.col("x")).alias("p"), lines._bag(F.col("y")).alias("q"))
+    got = bags.select("x", "y", lines._bags_near(F.col("p"), F.col("q"), 0.9).alias("near"),
+                      lines._bags_near(F.col("q"), F.col("p"), 0.9).alias("back")).collect()
+    for r in got:
+        n = max(len(r.x), len(r.y))
+        assert r.near == r.back
+        if n <= 120:
+            gone, new = (sum((Counter(a) - Counter(b)).values()) for a, b in ((r.x, r.y), (r.y, r.x)))
+            assert r.near or edit_distance(r.x, r.y) * 10 > n
+            assert not r.near or max(gone, new) * 10 <= n or set(r.x + r.y) & set("xyzqé 漢字")
+    assert [r.near for r in got if len(r.x) > 9000] == [True, True] and {r.near for r in got} == {True, False}
+
+
 def test_distance_without_common_ends(spark):
     from pyspark.sql import functions as F
     rng = random.Random(34)
