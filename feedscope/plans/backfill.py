@@ -41,15 +41,18 @@ def fill_report(before: DataFrame, after: DataFrame, column: str = "summary", ke
 
 
 def fill_title(items: DataFrame, index: DataFrame, least: float = SIMILAR_ENOUGH,
-               containment_only: bool = False) -> DataFrame:
+               containment_only: bool = False, as_indexed: bool = False) -> DataFrame:
     """Take the indexed title when it is longer, no navigation text and of the same article.
 
-    The similarity runs on joined pairs only; ``containment_only`` keeps it on the JVM side.
+    The similarity runs on joined pairs only; ``containment_only`` keeps it on the JVM side.  ``as_indexed``: the index holds
+    finished titles, which are taken as they are but for blanks around them; no tail is cut off and none is navigation.
     """
-    full = one_per_key(index, "url", "title").select("url", strip_title_suffix("title").alias("_full"))
+    title = F.regexp_replace("title", r"^\p{Zs}+|\p{Zs}+$", "") if as_indexed else strip_title_suffix("title")
+    full = one_per_key(index, "url", "title").select("url", title.alias("_full"))
     j = lookup_join(items, full, ["url"])
-    better = (F.col("_full").isNotNull() & (chars("_full") > chars(text_or_empty("title")))
-              & ~is_nav_title("_full"))
+    better = F.col("_full").isNotNull() & (chars("_full") > chars(text_or_empty("title")))
+    if not as_indexed:
+        better &= ~is_nav_title("_full")
     if containment_only:
         good = better & is_contained("_full", "title")
     else:

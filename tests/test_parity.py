@@ -48,3 +48,16 @@ def test_query(spark, duck, name):
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in rows), key=repr)
     assert got == want
+
+
+def test_filled_titles_with_tails(spark, tmp_path):
+    """Titles that end like a publisher, hold references or are navigation texts: the twin takes them as they are."""
+    titles = ["Carbon market report of the week | EPA", "Wind power at sea grows again - Reuters", "Tide &amp; current predictions", "About us", "Photo album",
+              "\u2003Blanks around a title\u3000", "\tTabs around a title\t", "Solar parks in the south | ending.in", "", "plain words only"]
+    docs = [(i * 40, t + "\nbody", "en", "src1") for i, t in enumerate(titles)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in all_queries()["title_fill_contained"](spark, str(tmp_path)).select("id", "title").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = set(con.execute(f"SELECT id, title FROM ({all_oracles()['title_fill_contained']})").fetchall())
+    assert got == want and len(want) == len(titles)
