@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,21 +17,48 @@ BITS = 4
 SHINGLE = 5
 EMPTY = np.iinfo(np.uint64).max
 ROUNDS = 4096
+#: Full bins up to which the lender of each empty bin is looked up instead of drawn for.
+FEW = 96
+
+
+def _draws(bins: int) -> np.ndarray:
+    """For each attempt and each empty bin the bin that is drawn: a fixed hash of the two."""
+    attempt, col = np.arange(ROUNDS)[:, None], np.arange(bins)[None, :]
+    return (C.mix((col * ROUNDS + attempt + 1).astype(C.U64)) % C.U64(bins)).astype(np.int32)
+
+
+@lru_cache(maxsize=4)
+def _draw_tables(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """The draws, and by lending and empty bin the attempt that first draws the lender (``ROUNDS``: none does)."""
+    draws = _draws(bins)
+    first = np.full((bins, bins), ROUNDS, np.int32)
+    for attempt in range(ROUNDS - 1, -1, -1):
+        first[draws[attempt], np.arange(bins)] = attempt
+    return draws, first
 
 
 def _densify(sketch: np.ndarray) -> None:
     """Fill each empty bin from a bin drawn by a fixed hash of (bin, attempt), until a full one is met.
 
     After ``ROUNDS`` attempts, which only nearly empty sketches need, the next full bin to the right lends its value.
+    Sketches with few full bins would need many attempts a bin: of theirs the full bin that is drawn first is looked up.
     """
     bins = sketch.shape[1]
+    draws, first = _draw_tables(bins)
     full = sketch != EMPTY
-    row, col = np.nonzero(~full)
+    held = full.sum(1)
+    for r in np.flatnonzero((held > 0) & (held <= FEW)).tolist():
+        near, empty = np.flatnonzero(full[r]), np.flatnonzero(~full[r])
+        at = first[near][:, empty]
+        lender = near[at.argmin(0)]
+        never = at.min(0) == ROUNDS
+        lender[never] = near[np.searchsorted(near, empty[never]) % len(near)]
+        sketch[r, empty] = sketch[r, lender]
+    row, col = np.nonzero(~full & (held > FEW)[:, None])
     for attempt in range(ROUNDS):
         if not len(row):
             return
-        draw = C.mix((col * ROUNDS + attempt + 1).astype(C.U64)) % C.U64(bins)
-        source = draw.astype(np.int64)
+        source = draws[attempt, col]
         hit = full[row, source]
         sketch[row[hit], col[hit]] = sketch[row[hit], source[hit]]
         row, col = row[~hit], col[~hit]
@@ -137,7 +165,11 @@ def edited_fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, shi
         """todo: (doc_id, text, next text)."""
         ids, own, after = zip(*todo)
         edited = [t[:len(t) - len(t) // 2] + n[:len(t) // 2] for t, n in zip(own, after)]
-        a, b, c = (sketches(pa.array(x, pa.large_string()), bins, bits, shingle) for x in (own, edited, after))
+        # the next text is mostly the next row's own, and drawn once
+        place = {t: k for k, t in enumerate(dict.fromkeys([*own, *after]))}
+        drawn = sketches(pa.array(list(place), pa.large_string()), bins, bits, shingle)
+        a, c = (drawn[[place[t] for t in x]] for x in (own, after))
+        b = sketches(pa.array(edited, pa.large_string()), bins, bits, shingle)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()),
              pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(packed(a, bits)),

@@ -158,6 +158,32 @@ def test_fingerprint_bits_round_trip():
     assert [fingerprints.unpacked(p).tolist() for p in fingerprints.packed(values)] == values.tolist()
 
 
+def test_empty_bins_are_filled_by_the_first_draw(monkeypatch):
+    """As drawing attempt by attempt does, without hashing the draws for every sketch again."""
+    from feedscope.llm import common as C
+    bins, rng = 64, np.random.default_rng(3)
+    sketch = np.full((80, bins), fingerprints.EMPTY, np.uint64)
+    for r in range(len(sketch)):
+        held = rng.choice(bins, [1, 1, 2, 3, 7, 20, 40, bins][r % 8], replace=False)
+        sketch[r, held] = rng.integers(0, 1 << 62, len(held)).astype(np.uint64)
+    want = sketch.copy()
+    for r, row in enumerate(sketch):
+        near = np.flatnonzero(row != fingerprints.EMPTY)
+        for c in np.flatnonzero(row == fingerprints.EMPTY):
+            draws = C.mix((c * fingerprints.ROUNDS + np.arange(fingerprints.ROUNDS) + 1).astype(np.uint64)) % np.uint64(bins)
+            met = np.flatnonzero(np.isin(draws.astype(int), near))
+            want[r, c] = row[draws[met[0]]] if len(met) else row[near[np.searchsorted(near, c) % len(near)]]
+    fingerprints._densify(sketch.copy())
+    hashed = []
+    monkeypatch.setattr(C, "mix", lambda x: hashed.append(x))
+    for few in (0, 5, bins):
+        monkeypatch.setattr(fingerprints, "FEW", few, raising=False)
+        got = sketch.copy()
+        fingerprints._densify(got)
+        assert (got == want).all()
+    assert not hashed
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     n, k = 400, 256
