@@ -455,6 +455,28 @@ def test_bags_of_lines_lose_no_link(spark):
     assert [r.near for r in got if len(r.x) > 9000] == [True, True] and {r.near for r in got} == {True, False}
 
 
+def test_lines_meet_by_bands_of_length(spark, docs_of):
+    """Lengths that allow a link are in the same or neighbouring bands, lengths that do not are soon apart."""
+    from pyspark.sql import functions as F
+    for similarity in (0.9, 0.95, 1.0):
+        sizes = [*range(1, 400), *range(400, 200_000, 997), 9_000, 10_000, 90_000, 100_000, 180_000, 200_000]
+        got = {r.n: r.b for r in spark.createDataFrame([(n,) for n in sizes], "n int")
+               .select("n", lines._length_band(F.col("n"), similarity).alias("b")).collect()}
+        for n in sizes:
+            least = n - int(n * round(1 - similarity, 9))
+            assert all(abs(got[n] - got[k]) <= 1 for k in sizes if least <= k <= n)
+            assert similarity == 1 or all(abs(got[n] - got[k]) > 1 for k in sizes if k < n * similarity ** 2.1 or k > n / similarity ** 2.1)
+    # one passage in lines of many lengths, and pairs at the limit of each length
+    rng = random.Random(8)
+    rows = []
+    for n in range(60, 400, 20):
+        own = "the passage that all of them share and " + " ".join("".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(n // 6))
+        rows += [own, own + " " + "z" * ((len(own) + 1) // 9 - 2)]
+    want = {2 * k for k in range(len(rows) // 2)}
+    got = lines.drop_lines(docs_of(list(enumerate(rows))), phrases=True)
+    assert {r.doc_id for r in got.where("n_dropped = 0").collect()} == want
+
+
 def test_distance_without_common_ends(spark):
     from pyspark.sql import functions as F
     rng = random.Random(34)
